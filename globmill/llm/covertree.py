@@ -5,14 +5,16 @@ Vectors are set to length 1; cosine >= t is a distance of at most r = sqrt(2 - 2
 The upper part of the tree is fitted on a hash sample of at most SAMPLE vectors: its farthest-first order makes nested
 levels with shrinking radii, and as many of its vectors as are needed are the centres of shards. Every vector goes to
 its nearest centre; the shards' covering radii come from all vectors, so the sample bounds the driver's part but takes
-nothing from exactness. A shard is cut into blocks of about BLOCK vectors, however large it is. Two blocks meet in a
-task unless the bounds of their shards rule links out, and a vector goes along only if its own distance to the other
-shard's centre allows a link.
-
-In a task each block has a cover tree: nested levels with halving radii, each node with the radius that really covers
-what is below it. Pairs of nodes descend together: one is dropped if the distance of the centres exceeds both radii and
-r, all below both are linked at once if distance and radii lie within r, and at the lowest level the cosines decide.
-So a dense group costs no enumeration of its pairs. A task gives each vector's number of links and its least partner
+nothing from exactness. A shard is cut into blocks of about BLOCK vectors, however large it is.
+
+Each block gets a cover tree: nested levels with halving radii, each node with the radius that really covers what is
+below it. They begin at 0.5, as no bound holds above: two nodes of radius 1 may always hold a link, on the sphere. Two
+blocks meet in a task unless the bounds of their shards rule links out, and a node goes along only if its own distance
+to the other shard's centre allows a link. There, pairs of nodes descend together: one is dropped if the distance of
+the centres exceeds both radii and r, all below both are linked at once if distance and radii lie within r, and at the
+lowest level the cosines decide. So a dense group costs no enumeration of its pairs. Nodes of a single vector need no
+descent: their products, in single precision with room for rounding, drop nearly all of them, and cosines in double
+precision decide on the rest. A task gives each vector's number of links and its least partner
 in the task's own components; sums and the global components follow (see _common.components).
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; shorter
@@ -34,9 +36,9 @@ THRESHOLD = 0.95
 #: Vectors that the upper levels are fitted on, and about how many vectors a block has.
 SAMPLE, BLOCK = 2048, 8192
 #: Radii of the levels below a block's root.
-LEVELS = (1.0, 0.5, 0.25, 0.125)
+LEVELS = (0.5, 0.25, 0.125)
 #: Room for rounding in bounds; the cosines themselves are compared as they are.
-SLACK = 1e-9
+SLACK, SLACK_SINGLE = 1e-9, 1e-5
 #: Rows of a distance table held at once.
 ROWS = 1024
 
@@ -71,60 +73,63 @@ def farthest_first(x: np.ndarray, most: int) -> np.ndarray:
 class CoverTree:
     """Nested levels over the rows of x. centre[l][i]: the centre of row i on level l; the last level is the rows."""
 
-    def __init__(self, x: np.ndarray):
-        self.x, n = x, len(x)
-        self.centre, self.cover = [], []
-        cells = [np.arange(n)]
+    def __init__(self, x: np.ndarray, centre: list[np.ndarray] | None = None):
+        self.x, self.cover, self.rows, n = x, [], [], len(x)
+        self.centre = [*(centre if centre is not None else self.levels(x)), np.arange(n)]
+        for own in self.centre:
+            d = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", x, x[own])))
+            d[own == np.arange(n)] = 0
+            cover = np.zeros(n)
+            np.maximum.at(cover, own, d)
+            self.cover.append(cover)
+            self.rows.append(_groups(own, np.arange(n)))
+        # children of each node: the centres of the next level below it
+        self.below = [_groups(up[heads := np.unique(down)], heads) for up, down in zip(self.centre, self.centre[1:], strict=False)]
+        alone = np.bincount(self.centre[0], minlength=n) if n else np.zeros(0, int)
+        self.single, self.fat = np.nonzero(alone == 1)[0], np.nonzero(alone > 1)[0]
+
+    @staticmethod
+    def levels(x: np.ndarray) -> list[np.ndarray]:
+        out, cells = [], [np.arange(len(x))]
         for radius in LEVELS:
-            centre = np.empty(n, np.int64)
+            centre = np.empty(len(x), np.int64)
             for cell in cells:
-                centre[cell] = self._net(cell, radius)
-            self._level(centre)
-            order = np.argsort(centre, kind="stable")
-            cells = np.split(order, np.nonzero(np.diff(centre[order]))[0] + 1) if n else []
-        self._level(np.arange(n))
-        # children of each node: the centres of the next level below it
-        self.below: list[dict[int, np.ndarray]] = []
-        for up, down in zip(self.centre, self.centre[1:], strict=False):
-            heads = np.unique(down)
-            order = heads[np.argsort(up[heads], kind="stable")]
-            cut = np.nonzero(np.diff(up[order]))[0] + 1
-            self.below.append({int(up[p[0]]): p for p in np.split(order, cut)} if len(order) else {})
-        self.rows = []
-        for centre in self.centre:
-            order = np.argsort(centre, kind="stable")
-            cut = np.nonzero(np.diff(centre[order]))[0] + 1
-            self.rows.append({int(centre[p[0]]): p for p in np.split(order, cut)} if n else {})
-
-    def _net(self, cell: np.ndarray, radius: float) -> np.ndarray:
-        """Greedy net of a cell, its first row first: for each row a centre within the radius."""
-        out, open_, x = np.full(len(cell), -1), np.arange(len(cell)), self.x
-        while len(open_):
-            # a run of rows picks centres among itself, then what they cover is done
-            run = open_[:256]
-            d = distances(x[cell[run]], x[cell[run]])
-            picked: list[int] = []
-            for k in range(len(run)):
-                if not picked or d[k, picked].min() > radius:
-                    picked.append(k)
-            heads = run[picked]
-            for at in range(0, len(open_), ROWS):
-                part = open_[at : at + ROWS]
-                d = distances(x[cell[part]], x[cell[heads]])
-                near = d.argmin(1)
-                hit = d[np.arange(len(part)), near] <= radius
-                out[part[hit]] = cell[heads[near[hit]]]
-            out[heads] = cell[heads]
-            open_ = open_[out[open_] < 0]
+                centre[cell] = cell if len(cell) == 1 else _net(x, cell, radius)
+            out.append(centre)
+            cells = list(_groups(centre, np.arange(len(x))).values())
         return out
 
-    def _level(self, centre: np.ndarray) -> None:
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", self.x, self.x[centre]))) if len(centre) else np.zeros(0)
-        d[centre == np.arange(len(centre))] = 0
-        cover = np.zeros(len(centre))
-        np.maximum.at(cover, centre, d)
-        self.centre.append(centre)
-        self.cover.append(cover)
+
+def _groups(by: np.ndarray, what: np.ndarray) -> dict[int, np.ndarray]:
+    if not len(by):
+        return {}
+    order = np.argsort(by, kind="stable")
+    cut = np.nonzero(np.diff(by[order]))[0] + 1
+    return {int(by[p[0]]): what[p] for p in np.split(order, cut)}
+
+
+def _net(x: np.ndarray, cell: np.ndarray, radius: float) -> np.ndarray:
+    """Greedy net of a cell, its first row first: for each row a centre within the radius."""
+    out, left, least = np.full(len(cell), -1), np.arange(len(cell)), 1 - radius * radius / 2
+    while len(left):
+        # a run of rows picks centres among itself, then what they cover is done
+        run = left[:256]
+        near = x[cell[run]] @ x[cell[run]].T >= least
+        free, picked = np.ones(len(run), bool), []
+        for k in range(len(run)):
+            if free[k]:
+                picked.append(k)
+                free &= ~near[k]
+        heads = run[picked]
+        for at in range(0, len(left), ROWS):
+            part = left[at : at + ROWS]
+            cos = x[cell[part]] @ x[cell[heads]].T
+            top = cos.argmax(1)
+            hit = cos[np.arange(len(part)), top] >= least
+            out[part[hit]] = cell[heads[top[hit]]]
+        out[heads] = cell[heads]
+        left = left[out[left] < 0]
+    return out
 
 
 class Links:
@@ -177,8 +182,26 @@ def dual(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, threshold:
                 else:
                     pairs(level + 1, a.below[level][p], b.below[level][q])
 
+    def singles() -> None:
+        """Nodes of one vector against nodes of one vector."""
+        x, y, least = a.x[a.single].astype(np.float32), b.x[b.single].astype(np.float32), np.float32(threshold - SLACK_SINGLE)
+        for at in range(0, len(x), ROWS):
+            p, q = np.nonzero(x[at : at + ROWS] @ y[at if same else 0 :].T >= least)
+            p, q = a.single[at + p], b.single[(at if same else 0) + q]
+            if same:
+                p, q = p[q > p], q[q > p]
+            hit = np.einsum("ij,ij->i", a.x[p], b.x[q]) >= threshold
+            p, q = p[hit], q[hit]
+            np.add.at(na, p, wb[q])
+            np.add.at(na if same else nb, q, wa[p])
+            for i, rows in _groups(p, q).items():
+                links.join(np.r_[i, rows + shift])
+
     if len(a.x) and len(b.x):
-        pairs(0, np.unique(a.centre[0]), np.unique(b.centre[0]))
+        singles()
+        # nodes of several: with all of the other side; if same, both orders are met, and counted for the first side
+        pairs(0, a.fat, np.r_[b.fat, b.single])
+        pairs(0, a.single, b.fat)
     return na, nb
 
 
@@ -215,36 +238,46 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     first, r = np.r_[0, np.cumsum(cuts)], reach(threshold)
     meets = distances(centres, centres) <= radius[:, None] + radius[None, :] + r + SLACK
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each vector to the pairs of blocks where it can have links: left in blocks of earlier shards, right in later ones."""
-        for b in batches:
-            shard = b["shard"].to_numpy()
-            own = first[shard] + b["cut"].to_numpy() % np.maximum(1, cuts[shard])
-            v = np.frombuffer(b"".join(b["v"]), np.float64).reshape(len(b), -1)
-            can = distances(v, centres) <= radius[None, :] + r + SLACK
-            for other in range(len(centres)):
-                for blk in range(first[other], first[other + 1]):
-                    left = can[:, other] & ((shard < other) | (shard == other) & (own < blk))
-                    right = meets[shard, other] & ((shard > other) | (shard == other) & (own > blk)) | (own == blk)
-                    for mask, is_left in ((left, True), (right, False)):
-                        if mask.any():
-                            o = own[mask]
-                            yield pd.DataFrame({"a": o if is_left else np.full(len(o), blk), "b": np.full(len(o), blk) if is_left else o, "left": is_left, "id": b["id"][mask], "w": b["w"][mask], "v": b["v"][mask]})
-
-    dealt = placed.withColumn("cut", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20))).mapInPandas(deal, "a long, b long, left boolean, id long, w long, v binary")
+    levels = ", ".join(f"c{k} long" for k in range(len(LEVELS)))
+
+    def grow(g: pd.DataFrame) -> pd.DataFrame:
+        """A block's tree, and the blocks that its nodes may have links with: left in those of earlier shards, right in later ones."""
+        g = g.sort_values("id").reset_index(drop=True)
+        shard, blk = int(g["shard"].iloc[0]), int(g["blk"].iloc[0])
+        v, ids = np.frombuffer(b"".join(g["v"]), np.float64).reshape(len(g), -1), g["id"].to_numpy()
+        tree = CoverTree(v)
+        top = tree.centre[0]
+        can = distances(v[top], centres) <= tree.cover[0][top][:, None] + radius[None, :] + r + SLACK
+        after = lambda s: range(max(first[s], blk + 1), first[s + 1])
+        left = {s: [*after(s)] for s in range(shard, len(centres))}
+        goes = [[x for s in np.nonzero(row[shard:])[0] for x in left[shard + s]] for row in can]
+        stays = [blk, *(x for s in np.nonzero(meets[shard, : shard + 1])[0] for x in range(first[s], min(first[s + 1], blk)))]
+        return pd.DataFrame({"blk": blk, "id": ids, "w": g["w"], "v": g["v"], "goes": goes, "stays": [stays] * len(g)} | {f"c{k}": ids[tree.centre[k]] for k in range(len(LEVELS))})
+
+    cut = F.pmod(F.xxhash64("id", F.lit(3)), F.element_at(F.array(*map(F.lit, np.maximum(1, cuts).tolist())), F.col("shard") + 1))
+    grown = placed.withColumn("blk", F.element_at(F.array(*map(F.lit, first[:-1].tolist())), F.col("shard") + 1) + cut)
+    grown = c.stored(grown.groupBy("blk").applyInPandas(grow, f"blk long, id long, w long, v binary, goes array<long>, stays array<long>, {levels}"), "cover-trees")
+    own = ["id", "w", "v", *(f"c{k}" for k in range(len(LEVELS)))]
+    dealt = grown.select(F.col("blk").alias("a"), F.explode("goes").alias("b"), F.lit(True).alias("left"), *own).unionAll(
+        grown.select(F.explode("stays").alias("a"), F.col("blk").alias("b"), F.lit(False).alias("left"), *own)
+    )
+
+    def tree_of(g: pd.DataFrame, v: np.ndarray) -> CoverTree:
+        """Nodes come along whole, so the centres are among the rows, which are sorted by id."""
+        return CoverTree(v, [np.searchsorted(g["id"].to_numpy(), g[f"c{k}"].to_numpy()) for k in range(len(LEVELS))])
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         same = bool(g["a"].iloc[0] == g["b"].iloc[0])
-        g = g.sort_values(["left", "id"], ascending=[False, True])
+        g = g.sort_values(["left", "id"], ascending=[False, True]).reset_index(drop=True)
         lefts = int(g["left"].sum())
         v = np.frombuffer(b"".join(g["v"]), np.float64).reshape(len(g), -1)
         w, ids = g["w"].to_numpy(), g["id"].to_numpy()
         links = Links(len(g))
         if same:
-            tree = CoverTree(v)
+            tree = tree_of(g, v)
             sums, _ = dual(tree, tree, w, w, threshold, True, links, 0)
         elif 0 < lefts < len(g):
-            one, two = dual(CoverTree(v[:lefts]), CoverTree(v[lefts:]), w[:lefts], w[lefts:], threshold, False, links, lefts)
+            one, two = dual(tree_of(g[:lefts], v[:lefts]), tree_of(g[lefts:], v[lefts:]), w[:lefts], w[lefts:], threshold, False, links, lefts)
             sums = np.r_[one, two]
         else:
             sums = np.zeros(len(g), np.int64)
