@@ -1,18 +1,22 @@
 """MinHash near-dedup: universal hash minima, banding, verification, components by large-star and small-star.
 
-1. Texts with the same word sequence are one class, represented by its least document.
-2. A class's distinct shingles are hashed to 64 bits; BANDS * ROWS multiply-add hashes give its signature. At the
-   threshold 0.8, a pair shares no band with probability (1 - 0.8^6)^40 = 5e-6.
-3. In each bucket (band and key), every member is compared with the bucket's least member: those pairs grow with the
+1. One pass over the texts gives each its shingle set's size, a hash of its word sequence and its signature: BANDS *
+   ROWS minima of multiply-add hashes over the distinct shingles. Texts with the same word sequence are one class,
+   represented by its least document. At the threshold 0.8, a pair shares no band with probability
+   (1 - 0.8^5)^30 = 7e-6.
+2. In each bucket (band and key), every member is compared with the bucket's least member: those pairs grow with the
    members only. Agreeing bytes of two signatures tell pairs far below the threshold; all others are verified on the
    full shingle sets. The verified links' components are found.
-4. Buckets may still hold members of several components. There, the members outside the bucket's largest component are
-   compared with all members of other components, in blocks of bounded size that are spread over tasks; pairs whose
-   signatures agree enough are verified, and components are found again over old and new links together. So no pair
-   that shares a bucket and could join two components is left out, and no group is expanded into all its pairs.
+3. Buckets may still hold members of several components. There, the members outside the bucket's largest component
+   (strays) are compared with all members of other components, in blocks of bounded size that are spread over tasks. A
+   first pass compares signatures and keeps the members that have any partner left; a second one gets those members'
+   full sets, verifies all pairs that are left, each in the first band that it shares, and gives only as many links as
+   join components. So no pair that shares a bucket and could join two components is left out, and no group is
+   expanded into its pairs.
 
 Defined results: a text that is null or has no words has no shingles and is alone; one with fewer words than a shingle
-has its whole sequence as one shingle. Repeated rows and ties fall into one class. Extra columns are not used.
+has its whole sequence as one shingle. Ties fall into one class; rows alike in key and text give one row. Extra columns
+are not used.
 """
 
 from __future__ import annotations
@@ -29,9 +33,9 @@ from . import _common as c
 
 #: Words of a shingle and similarity in percent, unless a contract says otherwise.
 WORDS, PERCENT = 5, 80
-BANDS, ROWS, SEED = 40, 6, 11
-#: Share of agreeing signature bytes below which a pair is left unverified. At similarity 0.8 and 240 bytes it lies over 7 deviations below the mean.
-AGREE = 0.6
+BANDS, ROWS, SEED = 30, 5, 11
+#: Share of agreeing signature bytes below which a pair is left unverified: at similarity 0.8 and 150 bytes, 4.6 standard deviations below the mean.
+AGREE = 0.65
 #: Rows of a block when members of a bucket are compared.
 STRAYS, MEMBERS = 512, 4096
 #: Shingles hashed at once; longer documents are hashed piece by piece.
@@ -56,7 +60,7 @@ def shingles(text: Column, n: int) -> Column:
 class Shingler:
     """Hashes of shingles; keeps the hashes of words seen."""
 
-    def __init__(self, n: int, store: int = 500_000):
+    def __init__(self, n: int, store: int = 200_000):
         self.n, self.store, self.seen = n, store, {}
 
     def words(self, text: str | None) -> list[str]:
@@ -65,23 +69,22 @@ class Shingler:
         return [w for w in _GAP.split(text.lower() if text.isascii() else text.translate(_UPPER)) if w]
 
     def __call__(self, text: str | None) -> np.ndarray:
+        return self.set_of(self.words(text))
+
+    def set_of(self, found: list[str]) -> np.ndarray:
+        """Sorted distinct hashes of the shingles of a word sequence."""
         import xxhash
 
-        found = self.words(text)
         if not found:
             return np.zeros(0, np.int64)
         if len(self.seen) > self.store:
             self.seen.clear()
-        get, seen = self.seen.get, self.seen
-        ids = []
-        for w in found:
-            h = get(w)
-            if h is None:
-                h = seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            ids.append(h)
-        x = np.array(ids, np.uint64)
+        seen = self.seen
+        for w in set(found).difference(seen):
+            seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        x = np.fromiter(map(seen.__getitem__, found), np.uint64, len(found))
         n = min(self.n, len(x))
-        out = np.full(len(x) - n + 1, len(x) if len(x) < self.n else self.n, np.uint64)
+        out = np.full(len(x) - n + 1, n, np.uint64)
         for k in range(n):
             out = (out ^ x[k : len(x) - n + 1 + k]) * np.uint64(0x9FB21C651E98DF25)
             out ^= out >> np.uint64(32)
@@ -106,24 +109,27 @@ def minima(x: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def signatures(text: Column, n: int) -> Column:
-    """Struct: size (of the shingle set), near (a byte of each minimum), keys (of the bands; null without shingles)."""
+    """Struct: size (of the shingle set), near (a byte of each minimum), keys (of the bands), class (hash of the words); null but for size without words."""
 
-    @F.pandas_udf("size long, near binary, keys array<long>")
+    @F.pandas_udf("size long, near binary, keys array<long>, class binary")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         own, family = Shingler(n), _family(BANDS * ROWS)
         mix = np.random.default_rng(SEED + 1).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for x in batches:
             rows = []
             for t in x:
-                s = own(t)
-                if not len(s):
-                    rows.append((0, b"", None))
+                words = own.words(t)
+                if not words:
+                    rows.append((0, None, None, None))
                     continue
+                s = own.set_of(words)
                 m = minima(s, family)
                 keys = (m.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * mix
                 keys ^= keys >> np.uint64(31)
-                rows.append((len(s), m.astype(np.uint8).tobytes(), keys.sum(1, dtype=np.uint64).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["size", "near", "keys"], index=x.index)
+                rows.append((len(s), m.astype(np.uint8).tobytes(), keys.sum(1, dtype=np.uint64).view(np.int64), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
+            yield pd.DataFrame(rows, columns=["size", "near", "keys", "class"], index=x.index)
 
     return signed(text)
 
@@ -151,65 +157,111 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.join(one, "u").join(two, "v").where(100 * both >= percent * (F.size("_a") + F.size("_b") - both)).select("u", "v")
 
 
-def _rest(buckets: DataFrame, parts: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs across components in buckets that hold several, as far as their signatures agree enough.
+def _blocks(x: DataFrame, *extra: str) -> DataFrame:
+    """Deal the members of mixed buckets to groups (band, key, i, j): strays to blocks i, all members to blocks j.
 
-    buckets: band, key, id. parts: node, component. The members outside a bucket's largest component (strays) are
-    dealt to blocks of STRAYS, all members to blocks of MEMBERS; each pair of blocks is a group.
+    x: band, key, id, component, and more columns to keep. Strays go to every j and members to every i, so a group has
+    about STRAYS and MEMBERS rows at most, however large its bucket.
     """
-    b = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    counts = b.groupBy("band", "key", "component").agg(F.count("*").alias("_n"))
+    counts = x.groupBy("band", "key", "component").agg(F.count("*").alias("_n"))
     mixed = counts.groupBy("band", "key").agg(F.count("*").alias("_parts"), F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_most")).where("_parts > 1")
-    x = b.join(mixed, ["band", "key"]).withColumn("stray", F.col("component") != F.col("_most.component"))
-    x = x.join(near.select("id", "near"), "id")
-    deal = lambda n: F.pmod(F.xxhash64("id", "band"), n).cast("int")
+    x = x.join(mixed, ["band", "key"]).withColumn("stray", F.col("component") != F.col("_most.component"))
     x = x.withColumn("_s", F.ceil((F.col("_all") - F.col("_most._n")) / STRAYS)).withColumn("_m", F.ceil(F.col("_all") / MEMBERS))
-    left = x.where("stray").select("band", "key", "id", "component", "near", deal(F.col("_s")).alias("i"), F.explode(F.sequence(F.lit(0), (F.col("_m") - 1).cast("int"))).alias("j"), F.lit(True).alias("stray"))
-    right = x.select("band", "key", "id", "component", "near", F.explode(F.sequence(F.lit(0), (F.col("_s") - 1).cast("int"))).alias("i"), deal(F.col("_m")).alias("j"), F.lit(False).alias("stray"))
+    deal = lambda n: F.pmod(F.xxhash64("id", "band"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    names = ["band", "key", "id", "component", *extra]
+    left = x.where("stray").select(*names, deal(F.col("_s")).alias("i"), every(F.col("_m")).alias("j"), F.lit(True).alias("stray"))
+    right = x.select(*names, every(F.col("_s")).alias("i"), deal(F.col("_m")).alias("j"), F.lit(False).alias("stray"))
+    return left.unionAll(right)
+
+
+def _stack(values) -> np.ndarray:
+    return np.stack([np.frombuffer(v, np.uint8) if isinstance(v, bytes) else np.asarray(v) for v in values])
+
+
+def _partners(g: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, pd.DataFrame, pd.DataFrame]]:
+    """For each stray of a group the members of other components whose signature agrees enough, where this band is the first that both share."""
+    s, m = g[g["stray"]].reset_index(drop=True), g[~g["stray"]].reset_index(drop=True)
+    if not len(s) or not len(m):
+        return
+    x, y, kx, ky = _stack(s["near"]), _stack(m["near"]), _stack(s["keys"]), _stack(m["keys"])
+    cs, cm, band = s["component"].to_numpy(), m["component"].to_numpy(), int(g["band"].iloc[0])
+    least = AGREE * x.shape[1]
+    for k in range(len(s)):
+        hit = np.nonzero(cm != cs[k])[0]
+        hit = hit[(y[hit] == x[k]).sum(1) >= least]
+        hit = hit[(ky[hit] == kx[k]).argmax(1) == band]
+        if len(hit):
+            yield k, hit, s, m
+
+
+def _rest(buckets: DataFrame, parts: DataFrame, signed: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (u, v) that join components within buckets. buckets: band, key, id. parts: node, component."""
+
+    def promising(g: pd.DataFrame) -> pd.DataFrame:
+        on: list[np.ndarray] = []
+        for k, hit, s, m in _partners(g):
+            on += [s["id"].to_numpy()[k : k + 1], m["id"].to_numpy()[hit]]
+        ids = np.unique(np.concatenate(on)) if on else np.zeros(0, np.int64)
+        return pd.DataFrame({"band": g["band"].iloc[0], "key": g["key"].iloc[0], "id": ids})
+
+    def verified(g: pd.DataFrame) -> pd.DataFrame:
+        label = {x: x for x in g["component"].unique().tolist()}
+
+        def find(x):
+            while label[x] != x:
+                x = label[x]
+            return x
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        s, m = g[g["stray"]], g[~g["stray"]]
         u, v = [], []
-        if len(s) and len(m):
-            x, y = (np.frombuffer(b"".join(p["near"]), np.uint8).reshape(len(p), -1) for p in (s, m))
-            cs, cm, us, um = s["component"].to_numpy(), m["component"].to_numpy(), s["id"].to_numpy(), m["id"].to_numpy()
-            least = AGREE * x.shape[1]
-            for k in range(len(s)):
-                hit = np.nonzero(cm != cs[k])[0]
-                hit = hit[(y[hit] == x[k]).sum(1) >= least]
-                u.append(np.full(len(hit), us[k]))
-                v.append(um[hit])
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (u, v))
-        return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)})
-
-    return left.unionAll(right).groupBy("band", "key", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+        for k, hit, s, m in _partners(g):
+            own, a = int(s["id"][k]), np.asarray(s["_set"][k])
+            sets = [np.asarray(z) for z in m["_set"].to_numpy()[hit]]
+            size = np.array([len(z) for z in sets])
+            flat = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
+            both = np.add.reduceat((a[at] == flat).astype(np.int64), np.r_[0, np.cumsum(size)[:-1]])
+            for h in hit[100 * both >= percent * (len(a) + size - both)].tolist():
+                p, q = find(int(s["component"][k])), find(int(m["component"][h]))
+                if p != q:
+                    label[max(p, q)] = min(p, q)
+                    u.append(own)
+                    v.append(int(m["id"][h]))
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+    told = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    key = ["band", "key", "i", "j"]
+    dealt = _blocks(told.select("band", "key", "id", "component")).join(signed, "id")
+    kept = c.stored(dealt.groupBy(*key).applyInPandas(promising, "band int, key long, id long").distinct(), "minhash-promising")
+    ids = kept.select("id").distinct()
+    rich = signed.join(ids, "id", "left_semi").select("id", "near", "keys").join(texts.join(ids, "id", "left_semi").select("id", shingles(F.col("text"), n).alias("_set")), "id")
+    dealt = _blocks(told.join(kept, ["band", "key", "id"], "left_semi").select("band", "key", "id", "component")).join(rich, "id")
+    return dealt.groupBy(*key).applyInPandas(verified, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: key, n_shingles, component_id (least key reachable by links), kept (key is the least)."""
     base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    # the words in order, told by two hashes: the class of equal texts
-    flat = F.trim(F.regexp_replace(c.ascii_lower(F.col("text")), c.SPACE, " "))
-    classed = c.stored(base.select("key", F.when(F.length(flat) > 0, F.struct(F.xxhash64(flat).alias("a"), F.xxhash64(F.reverse(flat), F.length(flat)).alias("b"))).alias("class")), "minhash-class")
-    owners = classed.where("class is not null").groupBy("class").agg(F.min("key").alias("id"))
-    member = c.stored(classed.join(owners, "class", "left").select("key", F.coalesce("id", "key").alias("id"), F.col("class").isNotNull().alias("full")).distinct(), "minhash-member")
-    texts = base.join(member.where("full and key = id").select("id"), F.col("key") == F.col("id"), "left_semi").select(F.col("key").alias("id"), "text").dropDuplicates(["id"])
-    signed = c.stored(texts.select("id", signatures(F.col("text"), n).alias("s")).select("id", "s.*"), "minhash-signatures")
-    near = signed.select("id", "near")
-    every = signed.where("keys is not null").select("id", F.posexplode("keys").alias("band", "key"))
-    heads = every.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    every = c.stored(base.select("key", signatures(F.col("text"), n).alias("s")).select("key", "s.*"), "minhash-signatures")
+    owners = every.where("size > 0").groupBy("class").agg(F.min("key").alias("id"))
+    alone = F.coalesce("class", F.col("key").cast("string").cast("binary"))  # no null keys in the join
+    member = every.select("key", "size", alone.alias("class")).join(owners, "class", "left").select("key", F.coalesce("id", "key").alias("id"), "size").distinct()
+    member = c.stored(member, "minhash-member")
+    heads = owners.select("id", "class").join(every.withColumnRenamed("key", "id"), ["id", "class"]).dropDuplicates(["id", "class"])
+    signed = c.stored(heads.select("id", "near", "keys"), "minhash-heads")
+    texts = base.withColumnRenamed("key", "id")
+    rows = signed.select("id", F.posexplode("keys").alias("band", "key"))
+    least = rows.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     # members of buckets with more than one, each with the bucket's least one
-    buckets = c.stored(every.join(heads, ["band", "key"]), "minhash-buckets")
-    pairs = _agree(buckets.where("id > head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct(), near)
-    links = c.stored(_verified(c.stored(pairs, "minhash-pairs"), texts, n, percent), "minhash-links")
+    buckets = c.stored(rows.join(least, ["band", "key"]), "minhash-buckets")
+    pairs = c.stored(_agree(buckets.where("id > head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct(), signed), "minhash-pairs")
+    links = c.stored(_verified(pairs, texts, n, percent), "minhash-links")
     parts = components(links)
-    more = c.stored(_rest(buckets.select("band", "key", "id"), parts, near), "minhash-rest")
+    more = c.stored(_rest(buckets.select("band", "key", "id"), parts, signed, texts, n, percent), "minhash-rest")
     if not more.isEmpty():
-        more = c.stored(_verified(more, texts, n, percent), "minhash-links")
-        if not more.isEmpty():
-            parts = components(links.unionAll(more))
-    out = member.join(parts.withColumnRenamed("node", "id"), "id", "left").join(signed.select("id", "size"), "id", "left")
-    out = out.select("key", F.coalesce("size", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        parts = components(links.unionAll(more))
+    out = member.join(parts.withColumnRenamed("node", "id"), "id", "left")
+    out = out.select("key", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col("key") == F.col("component_id"))
 
 
