@@ -38,6 +38,8 @@ BANDS, ROWS, SEED = 30, 5, 11
 AGREE = 0.65
 #: Rows of a block when members of a bucket are compared.
 STRAYS, MEMBERS = 512, 4096
+#: About how many rows of small buckets are compared in one call.
+GROUP = 2000
 #: Shingles hashed at once; longer documents are hashed piece by piece.
 PIECE = 4096
 
@@ -148,65 +150,78 @@ def _agree(pairs: DataFrame, near: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").where(enough("_a", "_b")).select("u", "v")
 
 
+def _sets(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Shingle sets (id, _set) of some documents. The list of ids grows with the input: it is never broadcast."""
+    return texts.join(ids.hint("merge"), "id", "left_semi").select("id", shingles(F.col("text"), n).alias("_set"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (u, v) that reach the similarity on their full sets. texts: id, text."""
     ids = pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = texts.join(ids, "id", "left_semi").select("id", shingles(F.col("text"), n).alias("_set"))
+    sets = _sets(texts, ids, n)
     one, two = sets.select(F.col("id").alias("u"), F.col("_set").alias("_a")), sets.select(F.col("id").alias("v"), F.col("_set").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
     return pairs.join(one, "u").join(two, "v").where(100 * both >= percent * (F.size("_a") + F.size("_b") - both)).select("u", "v")
 
 
-def _blocks(x: DataFrame, *extra: str) -> DataFrame:
-    """Deal the members of mixed buckets to groups (band, key, i, j): strays to blocks i, all members to blocks j.
+def _blocks(x: DataFrame, what: str) -> DataFrame:
+    """Deal the members of mixed buckets to groups (slot, i, j): strays to blocks i, all members to blocks j.
 
-    x: band, key, id, component, and more columns to keep. Strays go to every j and members to every i, so a group has
-    about STRAYS and MEMBERS rows at most, however large its bucket.
+    x: band, key, id, component. Strays go to every j and members to every i, so a bucket has about STRAYS and MEMBERS
+    rows in a group at most, however large it is. Small buckets share groups of about GROUP rows.
     """
     counts = x.groupBy("band", "key", "component").agg(F.count("*").alias("_n"))
     mixed = counts.groupBy("band", "key").agg(F.count("*").alias("_parts"), F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_most")).where("_parts > 1")
-    x = x.join(mixed, ["band", "key"]).withColumn("stray", F.col("component") != F.col("_most.component"))
-    x = x.withColumn("_s", F.ceil((F.col("_all") - F.col("_most._n")) / STRAYS)).withColumn("_m", F.ceil(F.col("_all") / MEMBERS))
+    mixed = c.stored(mixed.select("band", "key", "_all", F.col("_most._n").alias("_n"), F.col("_most.component").alias("_component")), f"minhash-{what}")
+    slots = max(1, (mixed.agg(F.sum("_all")).first()[0] or 0) // GROUP)
+    x = x.join(mixed, ["band", "key"]).withColumn("stray", F.col("component") != F.col("_component"))
+    x = x.withColumn("_s", F.ceil((F.col("_all") - F.col("_n")) / STRAYS)).withColumn("_m", F.ceil(F.col("_all") / MEMBERS))
     deal = lambda n: F.pmod(F.xxhash64("id", "band"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-    names = ["band", "key", "id", "component", *extra]
+    names = ["band", "key", "id", "component", F.pmod(F.xxhash64("band", "key"), F.lit(slots)).alias("slot")]
     left = x.where("stray").select(*names, deal(F.col("_s")).alias("i"), every(F.col("_m")).alias("j"), F.lit(True).alias("stray"))
     right = x.select(*names, every(F.col("_s")).alias("i"), deal(F.col("_m")).alias("j"), F.lit(False).alias("stray"))
     return left.unionAll(right)
 
 
-def _stack(values) -> np.ndarray:
-    return np.stack([np.frombuffer(v, np.uint8) if isinstance(v, bytes) else np.asarray(v) for v in values])
+def _stack(values: pd.Series) -> np.ndarray:
+    first = values.iloc[0]
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1) if isinstance(first, bytes) else np.stack(values.to_numpy())
 
 
-def _partners(g: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, pd.DataFrame, pd.DataFrame]]:
-    """For each stray of a group the members of other components whose signature agrees enough, where this band is the first that both share."""
-    s, m = g[g["stray"]].reset_index(drop=True), g[~g["stray"]].reset_index(drop=True)
-    if not len(s) or not len(m):
-        return
-    x, y, kx, ky = _stack(s["near"]), _stack(m["near"]), _stack(s["keys"]), _stack(m["keys"])
-    cs, cm, band = s["component"].to_numpy(), m["component"].to_numpy(), int(g["band"].iloc[0])
-    least = AGREE * x.shape[1]
-    for k in range(len(s)):
-        hit = np.nonzero(cm != cs[k])[0]
-        hit = hit[(y[hit] == x[k]).sum(1) >= least]
-        hit = hit[(ky[hit] == kx[k]).argmax(1) == band]
-        if len(hit):
-            yield k, hit, s, m
+def _partners(g: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """For each stray of a group (row) the rows of members of other components whose signature agrees enough, where this band is the first that both share.
+
+    g is sorted by band, key and stray.
+    """
+    near, keys = _stack(g["near"]), _stack(g["keys"])
+    part, band, key, stray = (g[k].to_numpy() for k in ("component", "band", "key", "stray"))
+    least = AGREE * near.shape[1]
+    cuts = np.r_[0, np.nonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1]))[0] + 1, len(g)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        m = a + int((~stray[a:b]).sum())
+        for k in range(m, b):
+            hit = a + np.nonzero(part[a:m] != part[k])[0]
+            hit = hit[(near[hit] == near[k]).sum(1) >= least]
+            hit = hit[(keys[hit] == keys[k]).argmax(1) == band[k]]
+            if len(hit):
+                yield k, hit
 
 
 def _rest(buckets: DataFrame, parts: DataFrame, signed: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v) that join components within buckets. buckets: band, key, id. parts: node, component."""
+    by = ["band", "key", "stray", "id"]
 
     def promising(g: pd.DataFrame) -> pd.DataFrame:
-        on: list[np.ndarray] = []
-        for k, hit, s, m in _partners(g):
-            on += [s["id"].to_numpy()[k : k + 1], m["id"].to_numpy()[hit]]
-        ids = np.unique(np.concatenate(on)) if on else np.zeros(0, np.int64)
-        return pd.DataFrame({"band": g["band"].iloc[0], "key": g["key"].iloc[0], "id": ids})
+        g, on = g.sort_values(by).reset_index(drop=True), np.zeros(len(g), bool)
+        for k, hit in _partners(g):
+            on[k] = on[hit] = True
+        return g.loc[on, ["band", "key", "id"]].drop_duplicates()
 
     def verified(g: pd.DataFrame) -> pd.DataFrame:
-        label = {x: x for x in g["component"].unique().tolist()}
+        g = g.sort_values(by).reset_index(drop=True)
+        part, ids, sets = g["component"].tolist(), g["id"].tolist(), [np.asarray(s) for s in g["_set"]]
+        label = {x: x for x in part}
 
         def find(x):
             while label[x] != x:
@@ -214,29 +229,28 @@ def _rest(buckets: DataFrame, parts: DataFrame, signed: DataFrame, texts: DataFr
             return x
 
         u, v = [], []
-        for k, hit, s, m in _partners(g):
-            own, a = int(s["id"][k]), np.asarray(s["_set"][k])
-            sets = [np.asarray(z) for z in m["_set"].to_numpy()[hit]]
-            size = np.array([len(z) for z in sets])
-            flat = np.concatenate(sets)
+        for k, hit in _partners(g):
+            a, size = sets[k], np.array([len(sets[h]) for h in hit])
+            flat = np.concatenate([sets[h] for h in hit])
             at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
             both = np.add.reduceat((a[at] == flat).astype(np.int64), np.r_[0, np.cumsum(size)[:-1]])
             for h in hit[100 * both >= percent * (len(a) + size - both)].tolist():
-                p, q = find(int(s["component"][k])), find(int(m["component"][h]))
+                p, q = find(part[k]), find(part[h])
                 if p != q:
                     label[max(p, q)] = min(p, q)
-                    u.append(own)
-                    v.append(int(m["id"][h]))
+                    u.append(ids[k])
+                    v.append(ids[h])
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    told = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    key = ["band", "key", "i", "j"]
-    dealt = _blocks(told.select("band", "key", "id", "component")).join(signed, "id")
-    kept = c.stored(dealt.groupBy(*key).applyInPandas(promising, "band int, key long, id long").distinct(), "minhash-promising")
+    told = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
+    told = c.stored(told, "minhash-told")
+    group = ["slot", "i", "j"]
+    dealt = _blocks(told, "mixed").join(signed, "id")
+    kept = c.stored(dealt.groupBy(*group).applyInPandas(promising, "band int, key long, id long").distinct(), "minhash-promising")
     ids = kept.select("id").distinct()
-    rich = signed.join(ids, "id", "left_semi").select("id", "near", "keys").join(texts.join(ids, "id", "left_semi").select("id", shingles(F.col("text"), n).alias("_set")), "id")
-    dealt = _blocks(told.join(kept, ["band", "key", "id"], "left_semi").select("band", "key", "id", "component")).join(rich, "id")
-    return dealt.groupBy(*key).applyInPandas(verified, "u long, v long").distinct()
+    rich = signed.join(ids, "id", "left_semi").join(_sets(texts, ids, n), "id")
+    dealt = _blocks(told.join(kept, ["band", "key", "id"], "left_semi"), "left").join(rich, "id")
+    return dealt.groupBy(*group).applyInPandas(verified, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
