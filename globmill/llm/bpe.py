@@ -26,7 +26,7 @@ from . import _common as c
 
 NAME = "word_bpe_49k.json"
 #: Words kept with their ids in a Python worker; beyond it the store starts anew.
-STORE = 300_000
+STORE = 150_000
 
 #: Characters for which Python's lower case, NFC (no change) and classes are plain: printable ASCII and Latin letters.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*").fullmatch
@@ -55,9 +55,7 @@ class WordBpe:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = {s: np.uint32(i).tobytes() for s, i in special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
-        self.strings = [""] * (1 + max([*self.vocab.values(), *special.values()]))
-        for s, i in [*self.vocab.items(), *special.items()]:
-            self.strings[i] = s
+        self.strings = strings_of(spec)
         library = Tokenizer.from_str(raw.decode())
         self.normalize, self.pre = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.letters = byte_letters()
@@ -214,16 +212,34 @@ class WordBpe:
         return [b"".join([b"".join([x[0][w] for w in x[1]]) if isinstance(x, tuple) else x for x in own]) for own in pieces]
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return joined(self.strings, ids)
 
 
-_OPEN: dict[int, WordBpe] = {}
+def strings_of(spec: dict) -> list[str]:
+    """Token strings by id."""
+    every = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = [""] * (1 + max(every.values()))
+    for s, i in every.items():
+        out[i] = s
+    return out
+
+
+def joined(strings: list[str], ids: bytes) -> str:
+    return " ".join(map(strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+_OPEN: dict[tuple, object] = {}
+
+
+def _opened(make, shared):
+    """One encoder, or list of strings, for each Python worker."""
+    if (make, shared.id) not in _OPEN:
+        _OPEN[make, shared.id] = make(shared.value)
+    return _OPEN[make, shared.id]
 
 
-def _engine(shared) -> WordBpe:
-    if shared.id not in _OPEN:
-        _OPEN[shared.id] = WordBpe(shared.value)
-    return _OPEN[shared.id]
+def _strings(raw: bytes) -> list[str]:
+    return strings_of(json.loads(raw))
 
 
 def vocabulary(spark: SparkSession, path: str | None = None):
@@ -262,7 +278,7 @@ def encode(text: Column, vocab: VocabularyFile) -> Column:
 
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        engine = _engine(vocab)
+        engine = _opened(WordBpe, vocab)
         for texts in batches:
             yield pd.Series(engine.encode(texts.fillna("").tolist()), index=texts.index, dtype=object)
 
@@ -274,9 +290,9 @@ def decode(ids: Column, vocab: VocabularyFile) -> Column:
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        engine = _engine(vocab)
+        strings = _opened(_strings, vocab)
         for ids in batches:
-            yield pd.Series([engine.decode(x or b"") for x in ids], index=ids.index, dtype=object)
+            yield pd.Series([joined(strings, x or b"") for x in ids], index=ids.index, dtype=object)
 
     return decoded(ids)
 

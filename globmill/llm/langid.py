@@ -149,8 +149,11 @@ class Filters:
 def learn(docs: DataFrame, bound: int = SAMPLE, held: int = HELD) -> Filters:
     """Filters from the rows with a language and a text in the training folds."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (c.crc_mod(F.col("doc_id"), 4) != 2))
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(bound)) / F.count("*")).alias("_share"))
-    kept = rows.select("doc_id", "lang", "text").join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("_share") * 1_000_003)
+    count_of = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    if not count_of:
+        return Filters.build({})
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(count_of.items()) for x in (lang, min(1.0, bound / n))])
+    kept = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
