@@ -231,7 +231,7 @@ def joined(strings: list[str], ids: bytes) -> str:
 _OPEN: dict[tuple, object] = {}
 
 
-def _opened(make, shared):
+def opened(make, shared):
     """One encoder, or list of strings, for each Python worker."""
     if (make, shared.id) not in _OPEN:
         _OPEN[make, shared.id] = make(shared.value)
@@ -278,7 +278,7 @@ def encode(text: Column, vocab: VocabularyFile) -> Column:
 
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        engine = _opened(WordBpe, vocab)
+        engine = opened(WordBpe, vocab)
         for texts in batches:
             yield pd.Series(engine.encode(texts.fillna("").tolist()), index=texts.index, dtype=object)
 
@@ -290,7 +290,7 @@ def decode(ids: Column, vocab: VocabularyFile) -> Column:
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        strings = _opened(_strings, vocab)
+        strings = opened(_strings, vocab)
         for ids in batches:
             yield pd.Series([joined(strings, x or b"") for x in ids], index=ids.index, dtype=object)
 

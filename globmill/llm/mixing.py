@@ -74,16 +74,16 @@ def invert(share: Column, values: Sequence[float]) -> Column:
     return out
 
 
-def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
+def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MOST, buckets: int = BUCKETS, order: str | None = None) -> DataFrame:
     """Per document: key, source, size, source_size, nth, target, start (words before it in its source's stream), times, taken.
 
-    The stream is run through floor(target / source_size) times in whole; in the epoch left over, a document is taken
+    A source's stream is in the order of the md5 of `order` (the key, unless given). It is run through floor(target / source_size) times in whole; in the epoch left over, a document is taken
     if its middle lies before what is left of the target. So the words taken differ from the target by half a
     document at most, and nothing is taken more than `most` times.
     """
-    base = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    order = F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary"))
-    base = c.stored(base.withColumn("_order", order).withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 6), 16, 10).cast("double") * (buckets / (1 << 24))).cast("int")), "mixing")
+    hashed = F.md5(F.coalesce(F.col(order or key).cast("string"), F.lit("")).cast("binary"))
+    base = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), hashed.alias("_order"))
+    base = c.stored(base.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 6), 16, 10).cast("double") * (buckets / (1 << 24))).cast("int")), "mixing")
     sums = base.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     sources = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, most)
     ahead = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -117,7 +117,7 @@ def curriculum(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """
     names = docs.columns
     keyed = docs.withColumn("_mix_key", F.concat_ws("/", F.coalesce(F.col(key).cast("string"), F.lit("-")), F.xxhash64(*names).cast("string")))
-    placed = positions(plan(keyed, key="_mix_key", **options)).select(F.col("key").alias("_mix_key"), "position", "epoch")
+    placed = positions(plan(keyed, key="_mix_key", order=key, **options)).select(F.col("key").alias("_mix_key"), "position", "epoch")
     # the text goes through one shuffle by the key, for the removal of repeats and the join, and one by position
     out = keyed.dropDuplicates(["_mix_key"]).join(placed, "_mix_key")
     return out.repartitionByRange(F.col("position"), F.col("_mix_key")).sortWithinPartitions("position", "_mix_key", "epoch").select(*names)

@@ -1,6 +1,6 @@
 """Token-ID output: best-fit-decreasing packing.
 
-Texts are encoded (see bpe), an end token follows each, documents longer than a sequence are cut into whole sequences
+Texts are encoded with a byte-level vocabulary, so that ids hold a text in whole, an end token follows each, documents longer than a sequence are cut into whole sequences
 and a rest, and the pieces are packed into sequences of a fixed length: longest first, each into the sequence with the
 least room that still holds it. A segment tree over amounts of room finds that one. Each row of the result is a
 sequence: its ids as a matrix row (little-endian unsigned 16-bit, padded), the cumulative segment lengths, positions
@@ -21,14 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
 from . import bpe
 
-#: Tokens of a sequence, pieces packed together, and the id that ends a document and fills a sequence up.
-LENGTH, GROUP, END = 2048, 4096, 49407
+#: The vocabulary file of ranks and the id that is free in it: it ends a document and fills a sequence up.
+NAME, END = "byte_bpe_50k.tiktoken", 50256
+#: Tokens of a sequence, and pieces packed together.
+LENGTH, GROUP = 2048, 4096
 SCHEMA = "pack_id long, n_tokens int, n_segments int, doc_ids array<long>, offsets array<int>, cu_seqlens array<int>, ids binary, positions binary"
 
 
@@ -97,9 +99,43 @@ def sequences(group: list[tuple[int, int, np.ndarray]], length: int, end: int) -
         yield {"n_tokens": ends[-1], "n_segments": len(members), "doc_ids": [group[i][0] for i in members], "offsets": [group[i][1] for i in members], "cu_seqlens": ends, "ids": ids.tobytes(), "positions": positions.tobytes()}
 
 
+def _opened(raw: bytes):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def vocabulary(spark: SparkSession, path: str | None = None) -> bpe.VocabularyFile:
+    """Broadcast a file of ranks (fixed size)."""
+    import public_tokenizers
+
+    return bpe.vocabulary(spark, path or public_tokenizers.path(NAME))
+
+
+def encode(text: Column, vocab: bpe.VocabularyFile) -> Column:
+    """Ids of whole texts (little-endian unsigned 32-bit); strings of special tokens are ordinary text."""
+
+    @F.pandas_udf("binary")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = bpe.opened(_opened, vocab).encode_ordinary
+        for texts in batches:
+            yield pd.Series([np.array(run(t), "<u4").tobytes() if t else b"" for t in texts.fillna("")], index=texts.index, dtype=object)
+
+    return encoded(text)
+
+
+def decode(ids: bytes, raw: bytes) -> str:
+    """Text of ids as unpack() gives them."""
+    return _opened(raw).decode(np.frombuffer(ids, "<u2").tolist())
+
+
 def pack(docs: DataFrame, vocab: bpe.VocabularyFile, key: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP, end: int = END) -> DataFrame:
     """Packed sequences of all documents."""
-    encoded = docs.select(F.col(key).cast("long").alias("key"), bpe.encode(F.col(text), vocab).alias("ids"))
+    encoded = docs.select(F.col(key).cast("long").alias("key"), encode(F.col(text), vocab).alias("ids"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, n, held = TaskContext.get().partitionId() << 32, 0, []
@@ -139,4 +175,4 @@ def write(packs: DataFrame, path: str) -> None:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(c.table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.vocabulary(spark))
+    return pack(c.table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(spark))
