@@ -27,6 +27,8 @@ from . import _common as c
 NAME = "word_bpe_49k.json"
 #: Words kept with their ids in a Python worker; beyond it the store starts anew.
 STORE = 150_000
+#: Symbols of a word up to which the least rank is searched in a list.
+SHORT = 48
 
 #: Characters for which Python's lower case, NFC (no change) and classes are plain: printable ASCII and Latin letters.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*").fullmatch
@@ -73,8 +75,14 @@ class WordBpe:
         by = np.argsort(keys)
         self.keys, self.ranks = keys[by], np.array([r for r, _ in self.merge.values()], np.int64)[by]
         self.usable = self._reachable()
+        self.pairs = {x * n + y: r for (x, y), (r, _) in self.merge.items()}
+        self.made = dict(self.merge.values())
         self.longest = max(len(s) - len(self.end) * s.endswith(self.end) for s, i in self.vocab.items())
         self.inner = {s: i for s, i in self.vocab.items() if self.usable[i] and not s.endswith(self.end)}
+        self.reach: dict[str, int] = {}  # length of the longest inner token that begins with these two letters
+        for t in self.inner:
+            if len(t) > self.reach.get(t[:2], 1):
+                self.reach[t[:2]] = len(t)
         self.final = {s[: -len(self.end)]: i for s, i in self.vocab.items() if self.usable[i] and s.endswith(self.end) and s != self.end}
         self.store: dict[str, bytes] = {}
         self.mapped: dict[str, bytes] = {}
@@ -127,13 +135,13 @@ class WordBpe:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; word in byte letters, without its end mark."""
-        at, n, out, inner, final, longest = 0, len(word), [], self.inner, self.final, self.longest
+        at, n, out, inner, final, longest, reach = 0, len(word), [], self.inner, self.final, self.longest, self.reach.get
         while at < n:
             rest = n - at
             if rest <= longest and (t := final.get(word[at:])) is not None:
                 out.append(t)
                 break
-            for size in range(min(longest, rest - 1), 0, -1):
+            for size in range(min(reach(word[at : at + 2], 1), rest - 1), 0, -1):
                 if (t := inner.get(word[at : at + size])) is not None:
                     out.append(t)
                     at += size
@@ -141,9 +149,21 @@ class WordBpe:
         return out
 
     def exact(self, word: str) -> list[int]:
-        """Merge in the order of ranks, leftmost first, with a heap over linked symbols."""
+        """Merge in the order of ranks, leftmost first: a list of ranks for short words, a heap over linked symbols for long ones."""
         ids = [self.vocab[ch] for ch in word[:-1]] + [self.vocab[word[-1] + self.end]]
         n = len(ids)
+        if n <= SHORT:
+            rank, base, none = self.pairs.get, self.base, len(self.merge) + len(self.vocab)
+            ranks = [rank(a * base + b, none) for a, b in zip(ids, ids[1:], strict=False)]
+            while ranks and (r := min(ranks)) < none:
+                i = ranks.index(r)
+                ids[i : i + 2] = [self.made[r]]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank(ids[i] * base + ids[i + 1], none)
+                if i:
+                    ranks[i - 1] = rank(ids[i - 1] * base + ids[i], none)
+            return ids
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
