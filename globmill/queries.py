@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import patterns as P
 from .operators import counting as C
+from .operators import estimators as E
 from .operators import statistics as S
 from .plans import planner
 from .streaming import grams
@@ -297,6 +298,37 @@ def qerror_stats(spark, d):
     return y.select(*[F.round(k, 6).alias(k) for k in y.columns])
 
 
+@query("parity_score", _EST + ", t AS (SELECT pattern, coalesce(sum(w), 0) AS c FROM p LEFT JOIN s ON s LIKE pattern GROUP BY 1), q AS (SELECT c, est FROM e JOIN t USING (pattern)) SELECT round(avg(((a.c < b.c) = (a.est < b.est))::INT), 9) AS parity FROM q a, q b WHERE a.c <> b.c")
+def parity_score(spark, d):
+    x = _estimates(spark, d).join(C.naive(strings(spark, d), patterns(spark, d)).withColumnRenamed("card", "true"), "pattern")
+    return E.parity(x).select(F.round("parity", 9).alias("parity"))
+
+
+@query("sample_est_m", None)
+def sample_est_m(spark, d):
+    return E.est_m(_estimates(spark, d), read(spark, d, "part").count(), 200)
+
+
+@query("sample_est_b", None)
+def sample_est_b(spark, d):
+    part = read(spark, d, "part")
+    n, m = part.count(), 150
+    r = F.row_number().over(W.orderBy(F.md5(F.concat(F.lit("0-"), F.col("p_partkey").cast("string")).cast("binary")), "p_partkey"))
+    sampled = S.sample(part, "p_partkey", m).select(r.cast("long").alias("r"), F.col("p_name").alias("s"))
+    return E.est_b(sampled, patterns(spark, d), E.break_table(n, 2.0, m), n)
+
+
+@query("union_estimate", None)
+def union_estimate(spark, d):
+    parts = spark.createDataFrame([("%Sup%00%", "Sup"), ("%Sup%00%", "00"), ("%0%1%", "0"), ("%0%1%", "1")], "pattern string, gram string")
+    return E.union_estimate(minhash_signatures(spark, d), parts, len(_A))
+
+
+@query("triplets", None)
+def triplets(spark, d):
+    return E.triplets(S.transitions(strings(spark, d)))
+
+
 @query("iqr_mean", "WITH q AS (SELECT quantile_cont(p_retailprice::DOUBLE, 0.25) AS a, quantile_cont(p_retailprice::DOUBLE, 0.75) AS b FROM part) SELECT round(avg(p_retailprice::DOUBLE), 6) AS iqr_mean, count(*)::BIGINT AS n FROM part, q WHERE p_retailprice BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)")
 def iqr_mean(spark, d):
     return S.iqr_mean(read(spark, d, "part"), "p_retailprice").select(F.round("iqr_mean", 6).alias("iqr_mean"), "n")
@@ -329,7 +361,7 @@ JOINS = {
     "join_hub": "SELECT count(*) AS n FROM orders o, customer hub, documents d WHERE o.o_custkey = hub.c_custkey AND d.doc_id = hub.c_custkey AND d.text LIKE '%the%'",
     "join_semi_anti": "SELECT (SELECT count(*) FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS n_semi, (SELECT count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS n_anti",
     "label_lookup": "SELECT toxic, quality, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text LIKE '%e%' GROUP BY toxic, quality",
-    "line_view": "SELECT count(*) AS n, sum(CASE WHEN url LIKE 'http%' THEN 1 ELSE 0 END) AS n_http FROM pages",
+    "line_view": "SELECT count(*) AS n, CAST(sum(CASE WHEN url LIKE 'http%' THEN 1 ELSE 0 END) AS BIGINT) AS n_http FROM pages",
     "clip_by_length": "SELECT length(p_name) AS len, count(*) AS n, count(DISTINCT p_name) AS n_distinct FROM part WHERE length(p_name) BETWEEN 5 AND 12 GROUP BY length(p_name)",
     "set_operations": "SELECT n_name AS name FROM nation WHERE n_name LIKE '%A%' INTERSECT SELECT n_name FROM nation WHERE n_name LIKE '%I%' EXCEPT SELECT n_name FROM nation WHERE n_name LIKE 'C%'",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from globmill import queries
 from globmill.functions import patterns as P
 from globmill.operators import counting as C
+from globmill.operators import estimators as E
 from globmill.operators import statistics as S
 from globmill.sources import files
 from globmill.streaming import grams
@@ -109,3 +110,31 @@ def test_metrics(spark):
     x = spark.createDataFrame([(4, 2.0), (0, 0.5), (10, 40.0)], "true long, est double")
     r = S.q_error_stats(x).first()
     assert math.isclose(r["avg_q"], (2 + 1 + 4) / 3) and r["q100"] == 4
+
+
+def test_sampling_intervals():
+    for n, m, k in ((40, 10, 0), (40, 10, 3), (60, 25, 25), (60, 7, 1)):
+        good = [s for s in range(n + 1) if E.likelihood(n, m, k, s) >= math.log(1e-3)]
+        assert E.interval(n, m, k, 1e-3) == (good[0], good[-1])
+        whole = sum(math.comb(s, k) * math.comb(n - s, m - k) / math.comb(n, m) for s in good)
+        assert math.isclose(sum(math.exp(E.likelihood(n, m, k, s)) for s in good), whole)
+
+
+def test_sequential_estimates(spark):
+    """The same as reading the sample row by row."""
+    breaks = E.break_table(200, 2.0, 150)
+    need = lambda m: [z for at, z in breaks if at <= m][-1]
+    rows = [(i + 1, r["p_name"]) for i, r in enumerate(S.sample(spark.read.parquet(f"{SF}/part.parquet"), "p_partkey", 150).orderBy(F.md5(F.concat(F.lit("0-"), F.col("p_partkey").cast("string")).cast("binary")), "p_partkey").collect())]
+    for r in queries.sample_est_b(spark, SF).collect():
+        k = 0
+        for m, s in rows:
+            k += duckdb.execute("select ? like ?", [s, r["pattern"]]).fetchone()[0]
+            if 0 < k >= need(m):
+                break
+        assert (r["m"], r["k"]) == (m, k), r
+
+
+def test_estimator_queries(spark):
+    assert all(0 <= r["similarity"] <= 1 for r in queries.union_estimate(spark, SF).collect())
+    assert all(r["positive"] != r["negative"] for r in queries.triplets(spark, SF).collect())
+    assert all(r["est"] > 0 for r in queries.sample_est_m(spark, SF).collect())
