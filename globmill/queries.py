@@ -362,7 +362,7 @@ JOINS = {
     "join_semi_anti": "SELECT (SELECT count(*) FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS n_semi, (SELECT count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS n_anti",
     "label_lookup": "SELECT toxic, quality, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text LIKE '%e%' GROUP BY toxic, quality",
     "line_view": "SELECT count(*) AS n, CAST(sum(CASE WHEN url LIKE 'http%' THEN 1 ELSE 0 END) AS BIGINT) AS n_http FROM pages",
-    "clip_by_length": "SELECT length(p_name) AS len, count(*) AS n, count(DISTINCT p_name) AS n_distinct FROM part WHERE length(p_name) BETWEEN 5 AND 12 GROUP BY length(p_name)",
+    "clip_by_length": "SELECT CAST(length(p_name) AS BIGINT) AS len, count(*) AS n, count(DISTINCT p_name) AS n_distinct FROM part WHERE length(p_name) BETWEEN 5 AND 12 GROUP BY length(p_name)",
     "set_operations": "SELECT n_name AS name FROM nation WHERE n_name LIKE '%A%' INTERSECT SELECT n_name FROM nation WHERE n_name LIKE '%I%' EXCEPT SELECT n_name FROM nation WHERE n_name LIKE 'C%'",
 }
 for _name, _text in JOINS.items():
