@@ -299,7 +299,9 @@ def training_texts(docs: DataFrame, text: str = "text", bound: int = SAMPLE) ->
 
 
 def learned(docs: DataFrame, text: str = "text") -> np.ndarray | None:
-    return train(training_texts(docs, text))
+    weights = train(training_texts(docs, text))
+    c.give_back()
+    return weights
 
 
 def spans(text: Column, weights: np.ndarray | None) -> Column:

@@ -35,6 +35,8 @@ DIM, HIDDEN, ATTENTION, BUCKETS = 12, 8, 8, 4096
 EPOCHS, BATCH, RATE, SEED = 6, 64, 8e-3, 7
 #: Distinct words whose inputs a Python worker keeps, and windows scored at once.
 STORE, AT_ONCE = 100_000, 4096
+#: Windows and texts scored at once while training: the driver's memory is smaller than a worker's.
+AT_ONCE_TRAINING, TEXTS_TRAINING = 1024, 64
 
 words_of = re.compile(r"\w+").findall
 
@@ -218,7 +220,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     learn, scale = order[np.arange(len(y)) % 5 > 0], order[np.arange(len(y)) % 5 == 0]
     if len(set(y[learn])) < 2:
         learn = order
-    tokens = [words_of((t or "").lower()) for t in texts]
+    seen: dict[str, str] = {}  # each word is held once, however often it stands in the sample
+    tokens = [[seen.setdefault(w, w) for w in words_of((t or "").lower())] for t in texts]
     df = [Counter(), Counter()]
     for i in learn:
         df[int(y[i])].update(set(tokens[i]))
@@ -235,10 +238,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     buckets, ends = net.spell(words)
     docs = []
     for i in learn:
-        x = np.array([rows[w] for w in tokens[i]], np.int64)
+        x = np.array([rows[w] for w in tokens[i]], np.int32)
         if len(x):
-            x = np.r_[x, np.full(max(0, WINDOW - len(x)), -1)]
+            x = np.r_[x, np.full(max(0, WINDOW - len(x)), -1, np.int32)]
             docs.append((int(y[i]), np.lib.stride_tricks.sliding_window_view(x, WINDOW)[windows(int((x >= 0).sum()))]))
+    del tokens, seen, rows, words
     weight = {1: 1.0, 0: n[1] / max(1, n[0]) if n[1] < n[0] else 1.0}
     lifted = np.maximum(start[ids], 0)
     best = [int(np.where(w >= 0, lifted[w], 0).sum(1).argmax()) for _, w in docs]
@@ -247,7 +251,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         if epoch:
             table = net.project(net.inputs(ids, buckets, ends)).astype(np.float32)
             where = np.concatenate([w for _, w in docs])
-            got = np.concatenate([net.forward(table[w := where[i : i + AT_ONCE]], w >= 0)[0] for i in range(0, len(where), AT_ONCE)])
+            got = np.concatenate([net.forward(table[w := where[i : i + AT_ONCE_TRAINING]], w >= 0)[0] for i in range(0, len(where), AT_ONCE_TRAINING)])
+            del table, where
             cuts = np.r_[0, np.cumsum([len(w) for _, w in docs])]
             best = [int(got[a:b].argmax()) for a, b in zip(cuts, cuts[1:], strict=False)]
         items = [(label, w[b]) for (label, w), b in zip(docs, best, strict=True)] + [(0, w[rng.integers(len(w))]) for label, w in docs if not label]
@@ -271,8 +276,11 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                 m[name] += 0.1 * (grad - m[name])
                 v[name] += 0.001 * (grad * grad - v[name])
                 net.p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
-    tops = np.array([x.max() if len(x) else np.nan for x in net.scorer().logits([texts[i] for i in (scale if len(set(y[scale])) > 1 else learn)])], float)
-    truth = y[scale if len(set(y[scale])) > 1 else learn][np.isfinite(tops)]
+    del docs, m, v
+    fit = scale if len(set(y[scale])) > 1 else learn
+    own = net.scorer()
+    tops = np.array([x.max() if len(x) else np.nan for k in range(0, len(fit), TEXTS_TRAINING) for x in own.logits([texts[i] for i in fit[k : k + TEXTS_TRAINING]])], float)
+    truth = y[fit][np.isfinite(tops)]
     net.scale = _fit_scale(tops[np.isfinite(tops)], truth)
     return net
 
@@ -305,7 +313,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
 
 def learned(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Network | None:
     rows = training_sample(docs, labels, bound)
-    return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    texts, toxic = [r["text"] for r in rows], [int(r["toxic"]) for r in rows]
+    del rows
+    net = train(texts, toxic)
+    del texts
+    c.give_back()
+    return net
 
 
 def score(text: Column, net: Network | None) -> Column:
