@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from .functions import patterns as P
 from .operators import counting as C
 from .operators import estimators as E
+from .operators import reports as R
 from .operators import statistics as S
-from .plans import planner
+from .plans import planner, sqltext
 from .streaming import grams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,8 +149,7 @@ def packed_core(spark, d):
 @query("pattern_lcp", f"WITH {_P}, x AS (SELECT pattern, lag(pattern, 1, '') OVER (ORDER BY pattern) AS before FROM p) SELECT pattern, (SELECT count(*) FROM (SELECT unnest(range(1, length(pattern) + 1)) AS i) AS y WHERE left(pattern, i) = left(before, i) AND i <= length(before))::INT AS lcp FROM x")
 def pattern_lcp(spark, d):
     """Longest common prefix with the pattern before, in code point order."""
-    x = patterns(spark, d).withColumn("before", F.lag("pattern", 1, "").over(W.orderBy("pattern")))
-    return x.select("pattern", F.size(F.filter(P.prefixes(F.col("pattern")), lambda p: F.startswith(F.col("before"), p))).alias("lcp"))
+    return R.neighbour_lcp(patterns(spark, d))
 
 
 @query("conditional_chain", None)
@@ -350,6 +350,87 @@ def two_word_patterns(spark, d):
     return w.select(F.concat(F.lit("%"), cut(0), F.lit("%"), cut(1), F.lit("%")).alias("pattern")).distinct()
 
 
+_SMALL = f"""f AS (SELECT pattern, {_canon('pattern', True)} AS c FROM p), h AS (SELECT pattern, c, regexp_replace(regexp_replace(c, '^%+', ''), '%+$', '') AS core FROM f)"""
+
+
+@query("ngram_exact_hits", _NGRAM + f", {_P}, {_SMALL} SELECT pattern, CASE WHEN length(core) BETWEEN 1 AND 2 AND NOT contains(core, '%') THEN (SELECT sum(w) FROM s WHERE s LIKE pattern)::BIGINT END AS cnt FROM h")
+def ngram_exact_hits(spark, d):
+    """Patterns that the n-gram table answers exactly; SQL counts them."""
+    return R.exact_hits(S.ngram_table(strings(spark, d), 2), patterns(spark, d), 2)
+
+
+@query("bound_report", None)
+def bound_report(spark, d):
+    return R.bound_report(S.upper_bound(S.ngram_table(strings(spark, d), 2), patterns(spark, d), 2, 1), C.naive(strings(spark, d), patterns(spark, d)))
+
+
+@query("negated_estimates", _EST + ", u AS (SELECT count(*) AS n, count(*) - count(p_name) AS nulls FROM part) SELECT pattern, est, greatest(0, n - nulls - est) AS est_not_like, greatest(0, n - est) AS est_not_equal FROM e, u")
+def negated_estimates(spark, d):
+    u = read(spark, d, "part").agg(F.count("*").alias("n"), F.count_if(F.col("p_name").isNull()).alias("nulls"))
+    return R.negated(_estimates(spark, d).crossJoin(F.broadcast(u)), F.col("n"), F.col("nulls")).select("pattern", "est", "est_not_like", "est_not_equal")
+
+
+@query("pattern_encoded", f"WITH {_P}, {_S}, x AS (SELECT w, unnest(string_split(s, '')) AS ch FROM s), y AS (SELECT ch, row_number() OVER (ORDER BY sum(w) DESC, ch) AS id FROM x GROUP BY 1), c AS (SELECT DISTINCT pattern, {_canon('pattern')} AS canonical FROM p), u AS (SELECT (SELECT max(length(canonical)) FROM c) AS width, (SELECT max(id) + 1 FROM y) AS unknown), z AS (SELECT pattern, canonical, unnest(range(1, length(canonical) + 1)) AS i FROM c), g AS (SELECT pattern, string_agg(coalesce(id, unknown)::VARCHAR, ',' ORDER BY i) AS ids FROM z LEFT JOIN y ON substr(canonical, i, 1) = ch, u GROUP BY 1) SELECT c.pattern, canonical, length(canonical)::INT AS len, coalesce(ids, '0') || repeat(',0', (width - greatest(1, length(canonical)))::INT) AS ids FROM c LEFT JOIN g ON c.pattern = g.pattern, u")
+def pattern_encoded(spark, d):
+    x = R.encoded(patterns(spark, d), S.char_stats(strings(spark, d)))
+    return x.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
+
+
+@query("prefix_label_map", f"WITH {_P}, {_S}, c AS (SELECT DISTINCT {_canon('pattern')} AS pattern FROM p), x AS (SELECT pattern, unnest(range(1, length(pattern) + 1)) AS i FROM c), y AS (SELECT pattern, i, left(pattern, i) AS prefix FROM x), l AS (SELECT p.pattern AS prefix, coalesce(sum(w), 0) AS card FROM p LEFT JOIN s ON s LIKE p.pattern GROUP BY 1) SELECT pattern, i::INT AS i, y.prefix, coalesce(card, 0)::BIGINT AS card, (card IS NOT NULL)::INT AS mask FROM y LEFT JOIN l ON y.prefix = l.prefix")
+def prefix_label_map(spark, d):
+    return R.prefix_labels(patterns(spark, d), C.typed(strings(spark, d), patterns(spark, d)))
+
+
+@query("tokens_in_any_order", f"WITH {_P}, {_S} SELECT pattern, coalesce(sum(w), 0)::BIGINT AS n FROM p LEFT JOIN s ON len(list_filter(regexp_extract_all(pattern, '[^%_]+'), lambda t: NOT contains(s, t))) = 0 GROUP BY 1")
+def tokens_in_any_order(spark, d):
+    return R.all_tokens_occur(strings(spark, d), patterns(spark, d))
+
+
+@query("token_sentences", "SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(p_name, ' '), lambda t: t <> ''), lambda t: 'p_name_' || t), ' ') AS sentence FROM part")
+def token_sentences(spark, d):
+    """Rows as sentences of column and token, for token dictionaries."""
+    t = F.filter(F.split(F.col("p_name"), " ", -1), lambda t: t != "")
+    return read(spark, d, "part").select("p_partkey", F.array_join(F.transform(t, lambda t: F.concat(F.lit("p_name_"), t)), " ").alias("sentence"))
+
+
+@query("row_counts", "SELECT count(*)::BIGINT AS n_all, count(p_name)::BIGINT AS n_name, count(p_brand)::BIGINT AS n_brand, max(length(p_name))::INT AS longest FROM part")
+def row_counts(spark, d):
+    return read(spark, d, "part").agg(F.count("*").alias("n_all"), F.count("p_name").alias("n_name"), F.count("p_brand").alias("n_brand"), F.max(F.length("p_name")).alias("longest"))
+
+
+@query("distinct_prefixes", f"WITH {_P}, x AS (SELECT pattern, unnest(range(1, length(pattern) + 1)) AS i FROM p) SELECT count(DISTINCT left(pattern, i))::BIGINT AS n FROM x")
+def distinct_prefixes(spark, d):
+    """Nodes of the patterns' trie."""
+    return patterns(spark, d).select(F.explode(P.prefixes(F.col("pattern"))).alias("x")).agg(F.count_distinct("x").alias("n"))
+
+
+@query("shape_lengths", f"WITH {_P}, x AS (SELECT regexp_replace(pattern, '[^%_]+', 'w', 'g') AS shape, array_to_string(list_transform(regexp_extract_all(pattern, '[^%_]+'), lambda t: length(t)::VARCHAR), ',') AS lens FROM p) SELECT shape, count(*)::BIGINT AS n, string_agg(DISTINCT lens, ';' ORDER BY lens) AS lengths FROM x GROUP BY 1")
+def shape_lengths(spark, d):
+    lens = F.array_join(F.transform(P.tokens(F.col("pattern")), lambda t: F.length(t).cast("string")), ",")
+    x = patterns(spark, d).select(P.shape(F.col("pattern")).alias("shape"), lens.alias("lens"))
+    return x.groupBy("shape").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("lens")), ";").alias("lengths"))
+
+
+@query("char_vocabulary", f"WITH {_S}, x AS (SELECT w, unnest(string_split(s, '')) AS ch FROM s) SELECT ch, (row_number() OVER (ORDER BY sum(w) DESC, ch) - 1)::INT AS idx FROM x GROUP BY 1 QUALIFY idx < 12")
+def char_vocabulary(spark, d):
+    return R.vocabulary(strings(spark, d), 12)
+
+
+@query("log_scaled_cards", f"WITH {_P}, {_S}, c AS (SELECT pattern, coalesce(sum(w), 0)::BIGINT AS card FROM p LEFT JOIN s ON s LIKE pattern GROUP BY 1), m AS (SELECT ln(greatest(min(card), 1)::DOUBLE) AS a, ln(greatest(max(card), 1)::DOUBLE) AS b FROM c) SELECT pattern, card, round(coalesce((ln(greatest(card, 1)::DOUBLE) - a) / nullif(b - a, 0), 0), 9) AS scaled FROM c, m")
+def log_scaled_cards(spark, d):
+    return R.log_scaled(C.naive(strings(spark, d), patterns(spark, d)), "card").withColumn("scaled", F.round("scaled", 9))
+
+
+_JOIN_TEXT = "SELECT count(*) FROM nation n, region r, customer c WHERE n.n_regionkey = r.r_regionkey AND c.c_nationkey = n.n_nationkey AND n.n_name LIKE '%AN%' AND c.c_acctbal BETWEEN 0 AND 5000"
+_SUBPLANS = sqltext.subplan_sql(_JOIN_TEXT)
+
+
+@query("subplan_sql", " UNION ALL ".join(f"SELECT '{k}' AS subplan, card FROM ({q}) AS x{i}" for i, (k, q) in enumerate(_SUBPLANS.items())))
+def subplan_sql(spark, d):
+    """Counts of the sub-plans that a join query's text gives."""
+    return views(spark, d).sql(" UNION ALL ".join(f"SELECT '{k}' AS subplan, card FROM ({q})" for k, q in _SUBPLANS.items()))
+
+
 # --- joins with patterns: text that both engines read alike, on Catalyst --------------------------------------------
 
 JOINS = {

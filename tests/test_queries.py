@@ -12,6 +12,7 @@ from globmill.functions import patterns as P
 from globmill.operators import counting as C
 from globmill.operators import estimators as E
 from globmill.operators import statistics as S
+from globmill.plans import sqltext
 from globmill.sources import files
 from globmill.streaming import grams
 
@@ -138,3 +139,16 @@ def test_estimator_queries(spark):
     assert all(0 <= r["similarity"] <= 1 for r in queries.union_estimate(spark, SF).collect())
     assert all(r["positive"] != r["negative"] for r in queries.triplets(spark, SF).collect())
     assert all(r["est"] > 0 for r in queries.sample_est_m(spark, SF).collect())
+
+
+def test_bound_report(spark):
+    r = queries.bound_report(spark, SF).first()
+    assert r["holds"] and r["max_ratio"] >= r["avg_ratio"] >= 1
+
+
+def test_join_text():
+    tables, filters, joins = sqltext.split("SELECT count(*) FROM title AS t, cast_info ci WHERE t.id=ci.movie_id AND (t.note LIKE '% AND %' OR t.x = 1) AND t.y BETWEEN 1 AND 2 AND ci.z = 'a.b';")
+    assert tables == {"t": "title", "ci": "cast_info"} and joins == [("t", "id", "ci", "movie_id")]
+    assert filters == ["(t.note LIKE '% AND %' OR t.x = 1)", "t.y BETWEEN 1 AND 2", "ci.z = 'a.b'"]
+    assert sqltext.sql_operators("a.b !~~ 'x ~~ y' and a.c ~~ 'z' and a.d <> 1") == "a.b NOT LIKE 'x ~~ y' and a.c LIKE 'z' and a.d != 1"
+    assert list(sqltext.subplan_sql("SELECT 1 FROM a x, b y, c z WHERE x.i = y.i AND y.j = z.j")) == ["x", "y", "z", "xy", "yz", "xyz"]
