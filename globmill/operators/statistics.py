@@ -102,6 +102,17 @@ def sample(records: DataFrame, key: str, m: int, seed: str = "0") -> DataFrame:
     return records.orderBy(F.md5(F.concat(F.lit(seed + "-"), F.col(key).cast("string")).cast("binary")), key).limit(m)
 
 
+def shuffled_rank(x: DataFrame, key: str, seed: str = "0") -> DataFrame:
+    """Adds rank (from 0, in the order of md5 of seed and key, then key) and total. Rows are ranked inside 4096 hash buckets, whose sizes alone are summed in one task."""
+    o = F.md5(F.concat(F.lit(seed + "-"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    y = x.withColumn("_o", o).withColumn("_b", F.substring("_o", 1, 3))
+    sizes = y.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"), F.sum("_n").over(W.partitionBy()).alias("total"))
+    own = F.row_number().over(W.partitionBy("_b").orderBy("_o", key)) - 1
+    return y.join(F.broadcast(sizes), "_b").withColumn("rank", F.col("_ahead") + own).drop("_o", "_b", "_ahead")
+
+
 def est_s(sampled: DataFrame, patterns: DataFrame, n: int, m: int) -> DataFrame:
     """pattern, k, est: matches in the sample scaled up; none counts as half a one."""
     p = patterns.select("pattern").distinct()

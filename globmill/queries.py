@@ -336,11 +336,8 @@ def iqr_mean(spark, d):
 
 @query("workload_split", f"WITH {_P}, r AS (SELECT pattern, row_number() OVER (ORDER BY md5('0-' || pattern), pattern) - 1 AS r, count(*) OVER () AS n FROM p) SELECT pattern, CASE WHEN r < floor(n * 0.8) THEN 'train' WHEN r < floor(n * 0.9) THEN 'valid' ELSE 'test' END AS split FROM r")
 def workload_split(spark, d):
-    x = patterns(spark, d)
-    r = F.percent_rank().over(W.orderBy(F.md5(F.concat(F.lit("0-"), "pattern").cast("binary")), "pattern"))
-    n = x.count()
-    y = x.withColumn("r", F.round(r * (n - 1)))
-    return y.select("pattern", F.when(F.col("r") < int(n * 0.8), "train").when(F.col("r") < int(n * 0.9), "valid").otherwise("test").alias("split"))
+    x, r, n = S.shuffled_rank(patterns(spark, d), "pattern"), F.col("rank"), F.col("total")
+    return x.select("pattern", F.when(r < F.floor(n * 0.8), "train").when(r < F.floor(n * 0.9), "valid").otherwise("test").alias("split"))
 
 
 @query("two_word_patterns", "WITH w AS (SELECT DISTINCT string_split(p_name, ' ') AS w FROM part) SELECT DISTINCT '%' || left(w[1], n) || '%' || left(w[2], n) || '%' AS pattern FROM (SELECT w, unnest([2, 3]) AS n FROM w WHERE len(w) >= 2)")
