@@ -85,7 +85,7 @@ def placeholder(q: Column) -> Column:
         kept = F.when(F.contains(tail, F.lit("%")), F.concat(_underscores(F.substr(tail, F.lit(1), last - 1)), F.lit("%"), F.substr(tail, last + 1))).otherwise(tail)
         return F.concat(F.regexp_extract(masked, "(?s)^(.*?)[%_]*$", 1), kept)
 
-    return F.transform(F.sequence(F.lit(1), F.length(q)), step)
+    return F.when(F.length(q) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), step)).otherwise(F.array().cast("array<string>"))
 
 
 def packed(q: Column, mode: str = "simple", way: str = "forward") -> Column:

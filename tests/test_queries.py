@@ -7,11 +7,13 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from globmill import queries
+from globmill import queries, workload_queries
+from globmill.functions import language as L
 from globmill.functions import patterns as P
 from globmill.operators import counting as C
 from globmill.operators import estimators as E
 from globmill.operators import statistics as S
+from globmill.operators import workloads as W
 from globmill.plans import sqltext
 from globmill.sources import files
 from globmill.streaming import grams
@@ -152,3 +154,24 @@ def test_join_text():
     assert filters == ["(t.note LIKE '% AND %' OR t.x = 1)", "t.y BETWEEN 1 AND 2", "ci.z = 'a.b'"]
     assert sqltext.sql_operators("a.b !~~ 'x ~~ y' and a.c ~~ 'z' and a.d <> 1") == "a.b NOT LIKE 'x ~~ y' and a.c LIKE 'z' and a.d != 1"
     assert list(sqltext.subplan_sql("SELECT 1 FROM a x, b y, c z WHERE x.i = y.i AND y.j = z.j")) == ["x", "y", "z", "xy", "yz", "xyz"]
+
+
+def test_language(spark):
+    """Every prefix of the reading form is a step of the conditional chain."""
+    q = workload_queries._forms(spark, SF).where("pattern rlike '[^%_]'").select("pattern", L.steps(F.col("pattern")).alias("a"), P.conditional_steps(F.col("pattern")).alias("b"))
+    assert q.count() > 0 and q.where("a is null or a <> b").count() == 0
+    odd = spark.createDataFrame([("",), ("%",), ("%_____",), ("____a",)], "q string").select("q", L.encode(F.col("q")).alias("e"))
+    assert [r["e"] is None for r in odd.collect()] == [True, False, True, False]
+
+
+def test_drawn_workloads(spark):
+    """Drawn patterns match a string at least; a second run draws the same; kinds keep to their shape."""
+    got = {r["pattern"]: r["card"] for r in workload_queries.patterns_general(spark, SF).collect()}
+    assert got and min(got.values()) >= 1 and {r["pattern"]: r["card"] for r in workload_queries.patterns_general(spark, SF).collect()} == got
+    assert any("_" in q for q in got) and any(not q.startswith("%") for q in got) and any(not q.endswith("%") for q in got)
+    shaped = workload_queries.patterns_by_shape(spark, SF)
+    assert shaped.where(P.shape(F.col("pattern")) != F.regexp_replace("shape", "w", "w")).count() == 0
+    empty = spark.createDataFrame([], "s string, w long")
+    for df in (W.general(empty), W.random_wildcards(empty), W.n_words(empty, 2), W.two_in_word(empty, 6), W.cut_long_words(empty, 6), W.word_counts(empty)):
+        assert df.count() == 0
+    assert W.split_sizes(100, 10**6) == {"train": 50, "valid": 5, "test": 5} and sum(W.split_sizes(100, 30).values()) == 29
