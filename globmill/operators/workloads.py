@@ -40,6 +40,11 @@ def _wrap(*parts: Column) -> Column:
     return F.concat(p, *[y for x in parts for y in (x, p)])
 
 
+def _once(c: Column) -> Column:
+    """A column that later filters refer to: as a generator's output it isn't copied into them."""
+    return F.explode(F.array(c))
+
+
 def data_strings(strings: DataFrame) -> DataFrame:
     """Distinct strings to make patterns of: not empty and without wildcards."""
     return strings.where((F.col("s") != "") & ~F.col("s").rlike("[%_]")).select("s").distinct()
@@ -121,13 +126,15 @@ def general(strings: DataFrame, tokens: int = 2, under: int = 2, shortest: int =
     fit = lambda a: F.filter(a, lambda w: F.length(w).between(shortest, longest))
     ws, n = F.col("ws"), F.col("n")
     inner = F.when(F.col("kind") == "SUBSTR", fit(ws)).when(F.col("kind") == "PREFIX", fit(F.slice(ws, F.lit(2), F.size(ws)))).otherwise(fit(F.slice(ws, F.lit(1), F.size(ws) - 1)))
-    x = x.withColumn("inner", inner).withColumn("more", F.when(F.col("kind") == "SUBSTR", n).otherwise(n - 1)).where(F.size("inner") >= F.col("more"))
+    x = x.withColumn("inner", _once(inner)).withColumn("more", F.when(F.col("kind") == "SUBSTR", n).otherwise(n - 1)).where(F.size("inner") >= F.col("more"))
     chosen = _first(F.col("inner"), F.col("more"), "token", s, n)
     edge = F.when(F.col("kind") == "PREFIX", F.substr(F.element_at(ws, 1), F.lit(1), F.lit(longest))).otherwise(F.right(F.element_at(ws, -1), F.lit(longest)))
+    x = x.withColumn("chosen", _once(chosen))
+    chosen = F.col("chosen")
     x = x.withColumn("t", F.when(F.col("kind") == "SUBSTR", chosen).when(F.col("kind") == "PREFIX", F.concat(F.array(edge), chosen)).otherwise(F.concat(chosen, F.array(edge))))
     body = F.array_join(F.transform("t", lambda t, i: _blurred(t, under, s, n, i)), "%")
     q = F.when(F.col("kind") == "SUBSTR", F.concat(p, body, p)).when(F.col("kind") == "PREFIX", F.concat(body, p)).otherwise(F.concat(p, body))
-    x = x.select("kind", "n", P.canonical(q, True).alias("q"))
+    x = x.select("kind", "n", _once(P.canonical(q, True)).alias("q"))
     left, right = F.col("q").startswith("%"), F.col("q").endswith("%")
     x = x.where((left | (F.col("kind") == "PREFIX")) & (right | (F.col("kind") == "SUFFIX")) & (F.size(F.filter(F.split("q", "%"), lambda t: t != "")) == F.col("n")))
     return x.select(P.canonical(F.col("q")).alias("pattern")).distinct()

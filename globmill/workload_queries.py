@@ -8,8 +8,11 @@ from .functions import language as L
 from .functions import patterns as P
 from .functions import words as X
 from .operators import counting as C
+from .operators import hybrid as H
+from .operators import statistics as S
 from .operators import workloads as W
-from .queries import _P, _S, _canon, _project, patterns, query, read, strings
+from .plans import features
+from .queries import _EST, _P, _canon, _estimates, _project, patterns, query, read, strings, token_sentences, views
 
 _WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(p_name, '\\S+')) AS word FROM part)"
 _GRAMS = "g AS (SELECT word, i, n, substr(word, i, n) AS g FROM (SELECT word, i, unnest(range(1, length(word) - i + 2)) AS n FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)))"
@@ -118,3 +121,43 @@ def edge_words(spark, d):
     """Words of ASCII texts; space at the edges belongs to them."""
     t = F.col("text")
     return read(spark, d, "documents").where(t.isNotNull() & ~t.rlike(r"[^\x00-\x7f]") & ~t.rlike(r"\x0b")).select("doc_id", F.size(X.edge_words(t)).alias("n"))
+
+
+# --- plans and learned estimates ----------------------------------------------------------------------------------------
+
+
+@query("plan_features", None)
+def plan_features(spark, d):
+    """Operators of a join query's physical plan."""
+    df = views(spark, d).sql("SELECT n_name, count(*) AS n FROM customer c, nation n WHERE c_nationkey = n_nationkey AND (n_name LIKE '%A%' OR c_acctbal <> 1) AND c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY n_name")
+    return features.rows(spark, features.plan(df))
+
+
+@query("hybrid_estimates", None)
+def hybrid_estimates(spark, d):
+    """Learned from the patterns of the train split, applied to all; table hits are exact."""
+    s, p, t = strings(spark, d), patterns(spark, d), S.ngram_table(strings(spark, d), 2)
+    bounds = S.upper_bound(t, p, 2, 1)
+    cards = C.naive(s, p)
+    known = cards.join(S.shuffled_rank(p, "pattern").where(F.col("rank") < F.floor(F.col("total") * 0.8)).select("pattern"), "pattern")
+    return H.estimate(H.fit(bounds, known), bounds, t, 2).join(cards.withColumnRenamed("card", "true"), "pattern")
+
+
+@query("qerror_by_length", _EST + ", t AS (SELECT pattern, coalesce(sum(w), 0) AS c FROM p LEFT JOIN s ON s LIKE pattern GROUP BY 1), q AS (SELECT pattern, greatest(greatest(c, 1)::DOUBLE / greatest(est, 1), greatest(est, 1)::DOUBLE / greatest(c, 1)) AS q FROM e JOIN t USING (pattern)) SELECT length(pattern)::INT AS len, length(regexp_replace(pattern, '[^%_]', '', 'g'))::INT AS n_wild, count(*)::BIGINT AS n, round(avg(q), 6) AS avg_q, round(max(q), 6) AS max_q FROM q GROUP BY 1, 2")
+def qerror_by_length(spark, d):
+    x = _estimates(spark, d).join(C.naive(strings(spark, d), patterns(spark, d)).withColumnRenamed("card", "true"), "pattern")
+    y = H.q_errors_by(x, F.length("pattern").alias("len"), F.length(F.regexp_replace("pattern", "[^%_]", "")).alias("n_wild"))
+    return y.select("len", "n_wild", "n", F.round("avg_q", 6).alias("avg_q"), F.round("max_q", 6).alias("max_q"))
+
+
+@query("pattern_vectors", None)
+def pattern_vectors(spark, d):
+    return H.pattern_vectors(patterns(spark, d), H.token_vectors(token_sentences(spark, d)), "p_name_")
+
+
+@query("substituted_selectivity", _EST + ", t AS (SELECT pattern, coalesce(sum(w), 0)::DOUBLE AS c FROM p LEFT JOIN s ON s LIKE pattern GROUP BY 1) SELECT t.pattern, CASE WHEN t.pattern LIKE '%bol%' THEN est ELSE c END AS used FROM t JOIN e ON t.pattern = e.pattern")
+def substituted_selectivity(spark, d):
+    """The model's estimate where it covers a pattern, the remainder's count elsewhere."""
+    model = _estimates(spark, d).where(F.col("pattern").contains("bol")).select("pattern", "est")
+    rest = C.naive(strings(spark, d), patterns(spark, d))
+    return rest.join(model, "pattern", "left").select("pattern", F.coalesce("est", F.col("card").cast("double")).alias("used"))

@@ -12,9 +12,10 @@ from globmill.functions import language as L
 from globmill.functions import patterns as P
 from globmill.operators import counting as C
 from globmill.operators import estimators as E
+from globmill.operators import hybrid as H
 from globmill.operators import statistics as S
 from globmill.operators import workloads as W
-from globmill.plans import sqltext
+from globmill.plans import features, sqltext
 from globmill.sources import files
 from globmill.streaming import grams
 
@@ -166,8 +167,9 @@ def test_language(spark):
 
 def test_drawn_workloads(spark):
     """Drawn patterns match a string at least; a second run draws the same; kinds keep to their shape."""
-    got = {r["pattern"]: r["card"] for r in workload_queries.patterns_general(spark, SF).collect()}
-    assert got and min(got.values()) >= 1 and {r["pattern"]: r["card"] for r in workload_queries.patterns_general(spark, SF).collect()} == got
+    s = queries.strings(spark, SF)
+    got = {r["pattern"]: r["card"] for r in C.naive(s, W.general(s)).collect()}
+    assert got and min(got.values()) >= 1 and {r["pattern"] for r in W.general(s).collect()} == set(got)
     assert any("_" in q for q in got) and any(not q.startswith("%") for q in got) and any(not q.endswith("%") for q in got)
     shaped = workload_queries.patterns_by_shape(spark, SF)
     assert shaped.where(P.shape(F.col("pattern")) != F.regexp_replace("shape", "w", "w")).count() == 0
@@ -175,3 +177,37 @@ def test_drawn_workloads(spark):
     for df in (W.general(empty), W.random_wildcards(empty), W.n_words(empty, 2), W.two_in_word(empty, 6), W.cut_long_words(empty, 6), W.word_counts(empty)):
         assert df.count() == 0
     assert W.split_sizes(100, 10**6) == {"train": 50, "valid": 5, "test": 5} and sum(W.split_sizes(100, 30).values()) == 29
+
+
+def test_plan_features(spark):
+    rows = workload_queries.plan_features(spark, SF).collect()
+    kinds = [r["kind"] for r in rows]
+    assert kinds.count("scan") == 2 and "aggregate" in kinds and {"hash_join", "merge_join"} & set(kinds)
+    assert {r["relation"] for r in rows if r["kind"] == "scan"} == {"customer", "nation"}
+    text = " ".join(t or "" for r in rows for t in r["terms"])
+    assert "__LIKE__" in text or "OR" in text
+    assert features.tree(["AND", "a", "OR", "b", "c", None, None]) == ("AND", ["a", ("OR", ["b", "c"])])
+    assert features.normalised("a NOT LIKE 'x LIKE y' and b <> 1 and c IN (1, 2)") == "a __NOTLIKE__ 'x LIKE y' and b __NOTEQUAL__ 1 and c __ANY__ (1, 2)"
+    root = features.plan(spark.range(5).where("id > 2"))
+    assert [len(level) for level in features.levels(root)][0] == 1 and sum(1 for _ in features.preorder(root)) == sum(map(len, features.levels(root)))
+
+
+def test_hybrid(spark):
+    """Estimates keep to the bound, exact hits are the counts, and the model is better than the bound alone."""
+    rows = workload_queries.hybrid_estimates(spark, SF).collect()
+    assert rows and all(r["exact"] == r["true"] for r in rows if r["exact"] is not None) and all(r["est"] <= r["bound"] + 1e-9 for r in rows if r["exact"] is None)
+    q = lambda t, e: max(max(t, 1) / max(e, 1), max(e, 1) / max(t, 1))
+    assert sum(q(r["true"], r["est"]) for r in rows) < sum(q(r["true"], r["bound"]) for r in rows)
+
+
+def test_ratio_for_size(spark):
+    """The same number of keys as pruning itself leaves, and the next step of the ratio leaves too many."""
+    table = S.ngram_table(queries.strings(spark, SF), 2)
+    ratio, size = H.ratio_for_size(table, 150, 6)
+    assert size <= 150 and S.prune_top(table, ratio).count() == size and S.prune_top(table, ratio + 2**-6).count() > 150
+
+
+def test_pattern_vectors(spark):
+    vectors = spark.createDataFrame([("c_ab", [1.0, 0.0]), ("c_a", [9.0, 9.0]), ("c_z", [0.0, 1.0])], "token string, vec array<double>")
+    got = {r["pattern"]: (r["n_known"], r["vec"]) for r in H.pattern_vectors(spark.createDataFrame([("%abx%yz%",), ("%q%",), ("",)], "pattern string"), vectors, "c_").collect()}
+    assert got == {"%abx%yz%": (2, [0.5, 0.5]), "%q%": (0, None), "": (0, None)}
