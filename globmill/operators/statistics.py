@@ -45,13 +45,13 @@ def prune_top(table: DataFrame, ratio: float) -> DataFrame:
     return x.join(F.broadcast(at), "glen").where("cnt >= pt").select("gram", "glen", "cnt", "pt")
 
 
-def upper_bound(table: DataFrame, patterns: DataFrame, n: int, pt: int) -> DataFrame:
-    """pattern, bound: the least count over the sub-grams of a pattern's parts; an absent gram counts pt - 1. table: gram, cnt."""
+def upper_bound(table: DataFrame, patterns: DataFrame, n: int, pt: int, shorter: bool = True) -> DataFrame:
+    """pattern, bound: the least count over the sub-grams of a pattern's parts; an absent gram counts pt - 1. table: gram, cnt. shorter: false takes the longest sub-grams alone."""
     q = F.replace(P.canonical(F.col("pattern"), True), F.lit("_"), F.lit(ANY))
     left, right = ~q.startswith("%"), ~q.endswith("%")
     part = patterns.select("pattern").distinct().select("pattern", left.alias("l"), right.alias("r"), F.split(F.regexp_replace(q, "^%+|%+$", ""), "%+").alias("parts"))
     one = part.select("pattern", "l", "r", F.size("parts").alias("k"), F.posexplode("parts").alias("i", "b")).where("b <> ''")
-    sub = one.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.length("b"))))).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("b") - F.col("n") + 1)))
+    sub = one.withColumn("n", F.explode(F.sequence(F.lit(1) if shorter else F.least(F.lit(n), F.length("b")), F.least(F.lit(n), F.length("b"))))).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("b") - F.col("n") + 1)))
     key = F.concat(
         F.when(F.col("l") & (F.col("i") == 0) & (F.col("at") == 1), F.lit(START)).otherwise(""),
         F.substr("b", "at", "n"),
@@ -138,3 +138,9 @@ def iqr_mean(x: DataFrame, column: str) -> DataFrame:
     q = x.agg(F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3"))
     w = 1.5 * (F.col("q3") - F.col("q1"))
     return x.crossJoin(F.broadcast(q)).where((v >= F.col("q1") - w) & (v <= F.col("q3") + w)).agg(F.avg(v).alias("iqr_mean"), F.count("*").alias("n"))
+
+
+def cross_entropy(p: Column, target: Column) -> Column:
+    """Binary cross-entropy of a probability, kept off 0 and 1."""
+    q = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p.cast("double")))
+    return -(target * F.ln(q) + (1 - target) * F.ln(1 - q))

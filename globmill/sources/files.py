@@ -41,3 +41,29 @@ def write_estimates(df: DataFrame, path: str) -> None:
     from ..operators.statistics import q_error
 
     df.select("query", "true", "est", q_error(F.col("true"), F.col("est")).alias("q-error")).write.csv(path, header=True, quote='"', escape='"')
+
+
+def escaped_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows without a header whose quotes are escaped by a backslash; empty fields are null."""
+    return spark.read.schema(schema).csv(path, quote='"', escape="\\", multiLine=True)
+
+
+def delimited(spark: SparkSession, path: str, schema: str, sign: str = "|") -> DataFrame:
+    """Rows whose fields a sign ends, such as a benchmark's `.tbl` files; the empty field after the last one isn't read."""
+    return spark.read.schema(schema).csv(path, sep=sign, enforceSchema=True)
+
+
+def xml_field(spark: SparkSession, path: str, tag: str, field: str) -> DataFrame:
+    """One string for each element `tag`: the text of its child `field` (empty if there is none)."""
+    return spark.read.schema(f"`{field}` string").option("rowTag", tag).format("xml").load(path).select(F.coalesce(F.col(field), F.lit("")).alias("s"))
+
+
+def write_lines(df: DataFrame, column: str, path: str) -> None:
+    """One column as text, one row a line; null as an empty line."""
+    df.select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value")).write.text(path)
+
+
+def catalog_columns(spark: SparkSession) -> DataFrame:
+    """table, column, type of the session's tables and views."""
+    rows = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables() for c in spark.catalog.listColumns(t.name)]
+    return spark.createDataFrame(rows, "table string, column string, type string")

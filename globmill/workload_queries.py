@@ -9,10 +9,11 @@ from .functions import patterns as P
 from .functions import words as X
 from .operators import counting as C
 from .operators import hybrid as H
+from .operators import lbs
 from .operators import statistics as S
 from .operators import workloads as W
 from .plans import features
-from .queries import _EST, _P, _canon, _estimates, _project, patterns, query, read, strings, token_sentences, views
+from .queries import _A, _B, _EST, _P, _S, _TOK, _canon, _estimates, _project, patterns, query, read, strings, token_sentences, views
 
 _WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(p_name, '\\S+')) AS word FROM part)"
 _GRAMS = "g AS (SELECT word, i, n, substr(word, i, n) AS g FROM (SELECT word, i, unnest(range(1, length(word) - i + 2)) AS n FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)))"
@@ -161,3 +162,54 @@ def substituted_selectivity(spark, d):
     model = _estimates(spark, d).where(F.col("pattern").contains("bol")).select("pattern", "est")
     rest = C.naive(strings(spark, d), patterns(spark, d))
     return rest.join(model, "pattern", "left").select("pattern", F.coalesce("est", F.col("card").cast("double")).alias("used"))
+
+
+def _records(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("rid"), F.col("p_name").alias("s"))
+
+
+@query("lbs_estimates", None)
+def lbs_estimates(spark, d):
+    r = _records(spark, d)
+    return lbs.estimate(patterns(spark, d), lbs.signatures(r, 3, _A, _B), r.count(), 3, len(_A))
+
+
+@query("bound_longest_grams", f"WITH {_P} SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS n_ok FROM p")
+def bound_longest_grams(spark, d):
+    """Bounds from the longest sub-grams alone hold too, and aren't below those from all."""
+    t, p = S.ngram_table(strings(spark, d), 2), patterns(spark, d)
+    x = S.upper_bound(t, p, 2, 1, shorter=False).join(C.naive(strings(spark, d), p), "pattern")
+    return x.agg(F.count("*").alias("n"), F.count_if(F.col("bound") >= F.col("card")).alias("n_ok"))
+
+
+@query("char_fractions", f"WITH {_S}, n AS (SELECT sum(w) AS n FROM s), x AS (SELECT s, w, unnest(string_split(s, '')) AS ch FROM s), y AS (SELECT s, w, ch, count(*) AS k FROM x GROUP BY ALL) SELECT ch, round(sum(w) FILTER (left(s, 1) = ch) / any_value(n)::DOUBLE, 9) AS prefix, round(sum(w) / any_value(n)::DOUBLE, 9) AS substring, round(sum(w) FILTER (right(s, 1) = ch) / any_value(n)::DOUBLE, 9) AS suffix, round(sum(k * w) / any_value(n)::DOUBLE, 9) AS occurrence FROM y, n GROUP BY 1")
+def char_fractions(spark, d):
+    n = strings(spark, d).agg(F.sum("w").alias("n"))
+    part = lambda c: F.round(F.nullif(F.col(c), F.lit(0)) / F.col("n").cast("double"), 9)
+    return S.char_stats(strings(spark, d)).crossJoin(F.broadcast(n)).select("ch", part("n_pre").alias("prefix"), part("n_rec").alias("substring"), part("n_suf").alias("suffix"), part("n_occ").alias("occurrence"))
+
+
+@query("token_list_sizes", f"WITH {_TOK}, s AS (SELECT DISTINCT p_name AS s FROM part), x AS (SELECT token, s, unnest(range(1, length(s) - length(token) + 2)) AS p FROM t, s) SELECT token, count(DISTINCT s)::BIGINT AS n_strings, count(*)::BIGINT AS n_positions, min(p)::INT AS first FROM x WHERE substr(s, p, length(token)) = token GROUP BY 1")
+def token_list_sizes(spark, d):
+    """Sizes of the position lists that an engine would join."""
+    t = read(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("token")).distinct()
+    return C.postings(strings(spark, d), t).groupBy("token").agg(F.count("*").alias("n_strings"), F.sum(F.size("pos")).alias("n_positions"), F.min(F.array_min("pos")).alias("first"))
+
+
+_POS = "WITH s AS (SELECT DISTINCT p_name AS s FROM part), x AS (SELECT s, unnest(range(1, length(s) + 1)) AS p FROM s), a AS (SELECT s, p FROM x WHERE substr(s, p, 1) = 'l'), b AS (SELECT s, p FROM x WHERE substr(s, p, 1) = 'e')"
+for _name, _op in (("equal", "="), ("later", ">=")):
+    query(f"position_join_back_{_name}", f"{_POS} SELECT a.s, count(DISTINCT a.p)::BIGINT AS n_left FROM a JOIN b ON a.s = b.s AND b.p - a.p {_op} 2 GROUP BY 1")(lambda spark, d, op=_op: _backward(spark, d, op))
+
+
+def _backward(spark, d, op):
+    """Positions of the left token that a fixed right side leaves."""
+    s = strings(spark, d).select("s", P.occurrences(F.col("s"), F.lit("l")).alias("a"), P.occurrences(F.col("s"), F.lit("e")).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
+    left = F.array_intersect("a", F.transform("b", lambda p: p - 2)) if op == "=" else F.filter("a", lambda p: p <= F.array_max("b") - 2)
+    return s.select("s", F.size(left).cast("long").alias("n_left")).where("n_left > 0")
+
+
+@query("position_join_pairs", f"{_POS} SELECT a.s, a.p::INT AS lo, b.p::INT AS hi FROM a JOIN b ON a.s = b.s AND b.p - a.p BETWEEN 2 AND 5")
+def position_join_pairs(spark, d):
+    """Pairs of positions within a gap, as a bushy plan joins them: inside each string, without a join of rows."""
+    s = strings(spark, d).select("s", P.occurrences(F.col("s"), F.lit("l")).alias("a"), P.occurrences(F.col("s"), F.lit("e")).alias("b"))
+    return s.select("s", F.explode("a").alias("lo"), "b").select("s", "lo", F.explode(F.filter("b", lambda p: (p - F.col("lo")).between(2, 5))).alias("hi"))

@@ -211,3 +211,31 @@ def test_pattern_vectors(spark):
     vectors = spark.createDataFrame([("c_ab", [1.0, 0.0]), ("c_a", [9.0, 9.0]), ("c_z", [0.0, 1.0])], "token string, vec array<double>")
     got = {r["pattern"]: (r["n_known"], r["vec"]) for r in H.pattern_vectors(spark.createDataFrame([("%abx%yz%",), ("%q%",), ("",)], "pattern string"), vectors, "c_").collect()}
     assert got == {"%abx%yz%": (2, [0.5, 0.5]), "%q%": (0, None), "": (0, None)}
+
+
+def test_lbs(spark):
+    """One part of at most a gram's length is exact (where it isn't anchored on both sides); no estimate is above its rarest part."""
+    got = {r["pattern"]: r for r in workload_queries.lbs_estimates(spark, SF).collect()}
+    cards = {r["pattern"]: r["card"] for r in C.naive(queries.strings(spark, SF), queries.patterns(spark, SF)).collect()}
+    assert set(got) == set(cards) and all(r["est"] >= 0 for r in got.values())
+    short = [q for q in got if got[q]["n_parts"] == 1 and (q.startswith("%") or q.endswith("%")) and len(q.strip("%")) <= 3]
+    assert short and all(got[q]["est"] == cards[q] for q in short)
+    assert got["%"]["est"] == sum(r["w"] for r in queries.strings(spark, SF).collect())
+
+
+def test_more_files(spark, tmp_path):
+    (tmp_path / "e.csv").write_text('1,"a \\"b\\" c",\n2,x,y\n')
+    assert [tuple(r) for r in files.escaped_csv(spark, str(tmp_path / "e.csv"), "i int, a string, b string").orderBy("i").collect()] == [(1, 'a "b" c', None), (2, "x", "y")]
+    (tmp_path / "p.tbl").write_text("1|red bolt|\n2|x|\n")
+    assert [tuple(r) for r in files.delimited(spark, str(tmp_path / "p.tbl"), "i int, a string").orderBy("i").collect()] == [(1, "red bolt"), (2, "x")]
+    (tmp_path / "d.xml").write_text("<r><p><title>One</title></p><p><year>1</year></p></r>")
+    assert sorted(r["s"] for r in files.xml_field(spark, str(tmp_path / "d.xml"), "p", "title").collect()) == ["", "One"]
+    files.write_lines(spark.createDataFrame([("a",), (None,)], "x string").coalesce(1), "x", str(tmp_path / "lines"))
+    assert sorted(r["s"] for r in files.lines(spark, str(tmp_path / "lines")).collect()) == ["", "a"]
+    spark.range(1).createOrReplaceTempView("some_view")
+    assert ("some_view", "id", "bigint") in [tuple(r) for r in files.catalog_columns(spark).collect()]
+
+
+def test_cross_entropy(spark):
+    r = spark.createDataFrame([(0.5, 1), (1.0, 0)], "p double, t int").select(S.cross_entropy(F.col("p"), F.col("t")).alias("x")).collect()
+    assert math.isclose(r[0]["x"], math.log(2)) and math.isclose(r[1]["x"], -math.log(1e-7), rel_tol=1e-6)
