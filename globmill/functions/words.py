@@ -12,7 +12,7 @@ _CLASS = "[" + "".join("\\" + c for c in PUNCTUATION) + "]"
 
 
 def edge_words(s: Column) -> Column:
-    """Words; space at the string's edges stays with the first and the last one, and is a word of its own if there is no other."""
+    """Words; space at the string's edges stays with the first and the last one, and is a word of its own if there is no other. Space is the blank and the characters 9 to 13."""
     return F.regexp_extract_all(s, F.lit(r"((?:^\s+)?\S+(?:\s+$)?|^\s+$)"), F.lit(1))
 
 

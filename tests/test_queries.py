@@ -239,3 +239,14 @@ def test_more_files(spark, tmp_path):
 def test_cross_entropy(spark):
     r = spark.createDataFrame([(0.5, 1), (1.0, 0)], "p double, t int").select(S.cross_entropy(F.col("p"), F.col("t")).alias("x")).collect()
     assert math.isclose(r[0]["x"], math.log(2)) and math.isclose(r[1]["x"], -math.log(1e-7), rel_tol=1e-6)
+
+
+def test_edge_words_of_all_documents(spark, tmp_path):
+    """Against a plain count: accents, emoji, white space that only some engines know, null and empty texts."""
+    texts = [None, "", " ", " \t\n", "é", " naïve café ", "a\x0bb", "\x0b", "a\u00a0b c", "a\u2003b", "日本 語\r\n", "\x1c x\x85", "😀 😀", "plain words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), SF):
+        rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+        got = sorted(map(tuple, queries.QUERIES["edge_words_all"](spark, folder).collect()))
+        plain = lambda t: len([w for w in t.translate(dict.fromkeys(range(9, 14), " ")).split(" ") if w])
+        assert got == sorted((r["doc_id"], max(plain(r["text"] or ""), int(bool(r["text"])))) for r in rows)
