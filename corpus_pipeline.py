@@ -22,10 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least doc_id; five words, similarity 0.8."""
+    """One row of each group stays, the one with the least doc_id; five words, similarity 0.8.
+
+    The decision is made for each row, by a hash of all its columns. A null doc_id comes after all others; rows of one
+    doc_id are ordered by their hash. Rows alike in every column are one row. Texts without words are alone, so those
+    rows stay. Among n rows, two different ones share a hash with probability n^2 / 2^64.
+    """
     _common.small_batches(spark)
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("key").alias("_kept"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    # the hash passes over nulls, so it has to be told where they are; without a sign, differences of keys don't overflow
+    own = F.xxhash64(*[F.col(k) for k in docs.columns], *[F.col(k).isNull() for k in docs.columns])
+    rows = docs.withColumn("_row", F.shiftrightunsigned(own, 1))
+    groups = minhash.near_duplicates(rows, "_row").select(F.col("key").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = rows.select("doc_id", "_row").distinct().join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("_first"))
+    return rows.dropDuplicates(["_row"]).join(first.select("_first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -406,3 +406,18 @@ def test_pipeline(spark, odd):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
     json.dumps([r["doc_id"] for r in rows])
+
+
+def test_pipeline_near_duplicates_by_row(spark, tmp_path):
+    """Null and repeated doc_ids: the decision is a row's, not a doc_id's."""
+    rng = random.Random(5)
+    a, b, x, d = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(80)) for _ in range(4))
+    stay = [(1, a, "en", "s"), (2, b, "en", "s"), (3, x, "en", "s"), (None, None, "en", "s"), (4, None, "en", "s"), (4, "", "en", "s"), (5, None, "en", None), (5, None, None, "en")]
+    go = [(2, a + " tail", "en", "s"), (3, b, "en", "s"), (3, x, "en", "s"), (None, a, "en", "s")]
+    either = [(None, d, "en", "s"), (None, d + " tail", "en", "s")]
+    docs = spark.createDataFrame([*go, *either, *stay], "doc_id long, text string, lang string, source string").repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert len([r for r in got if r in either]) == 1
+    assert sorted((r for r in got if r not in either), key=str) == sorted(stay, key=str)
