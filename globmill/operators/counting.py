@@ -80,10 +80,11 @@ def positional(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     p = patterns.select("pattern").distinct().withColumn("q", P.canonical(F.col("pattern")))
     p = p.withColumn("t", P.tokens(F.col("q"))).withColumn("o", P.ops(F.col("q"))).withColumn("m", F.size("t"))
-    plain = strings.join(F.broadcast(p.where("m = 0").select("pattern", "q").limit(BROADCAST_ROWS)), P.like("s", "q")).select("pattern", "w")
+    bare = p.where("m = 0").select("pattern", "q")
+    most, n = p.agg(F.coalesce(F.max("m"), F.lit(0)), F.count_if(F.col("m") == 0)).first()
+    plain = strings.join(F.broadcast(bare) if n <= BROADCAST_ROWS else bare, P.like("s", "q")).select("pattern", "w")
     some = p.where("m > 0")
     post = postings(strings, some.select(F.explode("t").alias("token")))
-    most = some.agg(F.max("m")).first()[0] or 0
     under = lambda o: F.length(F.replace(o, F.lit("%"), F.lit("")))
     head = lambda k: F.concat_ws("\0", *[F.concat(F.get("o", F.lit(i)), F.lit("\1"), F.get("t", F.lit(i))) for i in range(k + 1)])
     done, state = plain, None

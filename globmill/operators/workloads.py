@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import words as X
 
+#: Shapes up to which they are broadcast; checked.
+SHAPES = 1000
+
 
 def draw(purpose: str, *of: Column) -> Column:
     """32 bits as 8 hexadecimal digits."""
@@ -156,7 +159,8 @@ def by_shape(strings: DataFrame, shapes: DataFrame) -> DataFrame:
     Tokens at an anchored edge are the string's own start or end; the others are drawn words of at least `low` characters.
     """
     sh = F.col("shape")
-    x = data_strings(strings).crossJoin(F.broadcast(shapes.limit(1000)))
+    small = shapes.limit(SHAPES + 1).count() <= SHAPES
+    x = data_strings(strings).crossJoin(F.broadcast(shapes) if small else shapes)
     left, right = sh.startswith("w").cast("int"), sh.endswith("w").cast("int")
     ws = F.filter(F.split("s", r"\s+"), lambda w: F.length(w) >= F.col("low"))
     x = x.withColumn("ws", ws).withColumn("m", F.length(F.regexp_replace("shape", "[^w]", ""))).withColumn("inner", F.col("m") - F.when(F.col("m") == 1, F.greatest(left, right)).otherwise(left + right))

@@ -250,3 +250,15 @@ def test_edge_words_of_all_documents(spark, tmp_path):
         got = sorted(map(tuple, queries.QUERIES["edge_words_all"](spark, folder).collect()))
         plain = lambda t: len([w for w in t.translate(dict.fromkeys(range(9, 14), " ")).split(" ") if w])
         assert got == sorted((r["doc_id"], max(plain(r["text"] or ""), int(bool(r["text"])))) for r in rows)
+
+
+def test_more_rows_than_a_broadcast_takes(spark, monkeypatch):
+    """Wildcard-only patterns and shapes beyond the limits of a broadcast are counted too."""
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 2)
+    strings = C.weighted(spark.createDataFrame([(s,) for s in CORPUS], "x string"), "x")
+    got = {r["pattern"]: r["card"] for r in C.positional(strings, spark.createDataFrame([("_" * n,) for n in range(4, 11)], "pattern string")).collect()}
+    assert got == {"_" * n: sum(len(s) == n for s in CORPUS) for n in range(4, 11)}
+    word = "".join(chr(97 + i % 26) for i in range(1100))
+    shapes = spark.createDataFrame([("%w%", 1, n) for n in range(1, 1101)], "shape string, low int, high int")
+    got = W.by_shape(spark.createDataFrame([(word, 1)], "s string, w long"), shapes)
+    assert {r["pattern"] for r in got.collect()} == {f"%{word[:n]}%" for n in range(1, 1101)}
