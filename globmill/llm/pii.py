@@ -8,15 +8,18 @@ for each kind, and dynamic programming over the bounded segments chooses boundar
 trained by its likelihood on regions of the documents, the base spans being the truth, where they don't contradict each
 other; it then also finds what the patterns miss: numbers that run into one another, or forms with a part missing.
 
-Training regions come from a hash sample of at most SAMPLE documents with digits or `@`; every text is scanned whole.
+Training regions come from at most SAMPLE different texts with digits or `@`, those with the least hashes; every text
+is scanned whole.
 
-Defined results: null texts are empty and have no spans. Added spans never overlap a base span or one another. Equal
+Defined results: null texts are empty and have no spans; an empty table gives an empty result; repeated rows give a row
+each; extra columns are not used, but by redact(), which leaves them as they are. Added spans never overlap a base span or one another. Equal
 texts have equal spans; redact() leaves null as null, and other columns as they are.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ from . import _common as c
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds: documents that regions are taken from, regions learned from, atoms of a segment, passes.
 SAMPLE, REGIONS, ATOMS, PASSES, RATE = 600, 500, 16, 30, 0.25
+#: Atoms whose segments are scored at once: a long region's memory is that of its atoms alone.
+STRETCH = 1024
 
 _CLASS = "A-Za-z0-9._%+-"
 _LEFT = re.compile(f"[{_CLASS}]*").fullmatch
@@ -160,25 +165,32 @@ def features(text: str, a: int, b: int) -> list[int]:
 
 
 class Region:
-    """Atoms of a region and its candidate segments: first atom, atom after the last, features."""
-
-    def __init__(self, text: str, begin: int, end: int):
-        self.cuts = [m.start() for m in _ATOM.finditer(text, begin, end)] + [end]
-        n = len(self.cuts) - 1
-        self.first, self.after, rows = [], [], []
-        for j in range(1, n + 1):
-            if not text[self.cuts[j] - 1].isalnum():
+    """Atoms of a region. Its candidate segments (first atom, atom after the last, features) are held at once only where the region is learned from."""
+
+    def __init__(self, text: str, begin: int, end: int, whole: bool = True):
+        self.text = text
+        self.cuts = array("q", (m.start() for m in _ATOM.finditer(text, begin, end)))
+        self.cuts.append(end)
+        self.n = len(self.cuts) - 1
+        if whole:
+            self.first, self.after, self.x = self.segments(0, self.n)
+
+    def segments(self, low: int, high: int) -> tuple[list[int], list[int], np.ndarray]:
+        """Candidates whose last atom is one of low .. high - 1."""
+        text, cuts, first, after, rows = self.text, self.cuts, [], [], []
+        for j in range(low + 1, high + 1):
+            if not text[cuts[j] - 1].isalnum():
                 continue
             for i in range(max(0, j - ATOMS), j):
-                ch = text[self.cuts[i]]
-                if (ch.isalnum() or ch in "+(") and _TRIGGER(text, self.cuts[i], self.cuts[j]):
-                    self.first.append(i)
-                    self.after.append(j)
-                    rows.append(features(text, self.cuts[i], self.cuts[j]))
-        self.x = np.zeros((len(rows), FEATURES))
+                ch = text[cuts[i]]
+                if (ch.isalnum() or ch in "+(") and _TRIGGER(text, cuts[i], cuts[j]):
+                    first.append(i)
+                    after.append(j)
+                    rows.append(features(text, cuts[i], cuts[j]))
+        x = np.zeros((len(rows), FEATURES))
         for k, row in enumerate(rows):
-            self.x[k, row] = 1
-        self.n = n
+            x[k, row] = 1
+        return first, after, x
 
 
 # A field is its weights: (kinds, FEATURES). An atom outside of all segments scores 0.
@@ -212,27 +224,29 @@ def backward(r: Region, scores: np.ndarray) -> np.ndarray:
 
 
 def best(r: Region, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation's segments: (start, kind, end) in the text."""
-    if not len(r.x):
-        return []
-    scores = r.x @ weights.T
-    kind, top = scores.argmax(1), scores.max(1)
-    value, back, k = [0.0], [-1], 0
-    for j in range(1, r.n + 1):
-        v, b = value[j - 1], -1
-        while k < len(r.after) and r.after[k] == j:
-            if (w := value[r.first[k]] + top[k]) > v:
-                v, b = w, k
-            k += 1
-        value.append(v)
-        back.append(b)
+    """The best segmentation's segments: (start, kind, end) in the text. Segments are scored a stretch of atoms at a time."""
+    value, back, kinds = array("d", [0.0]), array("q", [-1]), array("b", [0])
+    for low in range(0, r.n, STRETCH):
+        first, after, x = r.segments(low, min(r.n, low + STRETCH))
+        scores = x @ weights.T
+        kind, top = (scores.argmax(1).tolist(), scores.max(1).tolist()) if first else ([], [])
+        k = 0
+        for j in range(low + 1, min(r.n, low + STRETCH) + 1):
+            v, b, own = value[j - 1], -1, 0
+            while k < len(after) and after[k] == j:
+                if (w := value[first[k]] + top[k]) > v:
+                    v, b, own = w, first[k], kind[k]
+                k += 1
+            value.append(v)
+            back.append(b)
+            kinds.append(own)
     out, j = [], r.n
     while j > 0:
-        if (b := back[j]) < 0:
+        if back[j] < 0:
             j -= 1
         else:
-            out.append((r.cuts[r.first[b]], int(kind[b]), r.cuts[j]))
-            j = r.first[b]
+            out.append((r.cuts[back[j]], kinds[j], r.cuts[j]))
+            j = back[j]
     return out[::-1]
 
 
@@ -273,29 +287,44 @@ def train(texts: list[str], most: int = REGIONS, passes: int = PASSES) -> np.nda
     return w
 
 
+def _apart(found: list[tuple[int, int, int]], near: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of the found spans (in order) that overlap none of the others, which are sorted by start and may overlap one another."""
+    out, k, reach = [], 0, -1
+    for s in found:
+        while k < len(near) and near[k][0] < s[2]:
+            reach = max(reach, near[k][2])
+            k += 1
+        if reach <= s[0]:
+            out.append(s)
+    return out
+
+
 def find(text: str | None, weights: np.ndarray | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans."""
     base = base_spans(text)
     if weights is None or not text or not _TRIGGER(text):
         return base, base
-    more, k = [], 0
-    by_end = sorted(base, key=lambda s: s[2])
+    # spans of one kind don't overlap, so those near a region are a run of each kind's list
+    more, lists, at = [], [[s for s in base if s[1] == k] for k in range(len(KINDS))], [0] * len(KINDS)
     for begin, end in regions(text):
-        while k < len(by_end) and by_end[k][2] <= begin:
-            k += 1
-        near = [s for s in by_end[k:] if s[0] < end] if k < len(by_end) else []
-        if near and near[0][0] <= begin and near[0][2] >= end:
+        near = []
+        for k, own in enumerate(lists):
+            while at[k] < len(own) and own[at[k]][2] <= begin:
+                at[k] += 1
+            i = at[k]
+            while i < len(own) and own[i][0] < end:
+                near.append(own[i])
+                i += 1
+        if any(s[0] <= begin and s[2] >= end for s in near):
             continue  # a base span is the whole region
-        more += [s for s in best(Region(text, begin, end), weights) if not any(s[0] < t[2] and t[0] < s[2] for t in near)]
+        more += _apart(best(Region(text, begin, end, whole=False), weights), sorted(near))
     return base, sorted(base + more)
 
 
 def training_texts(docs: DataFrame, text: str = "text", bound: int = SAMPLE) -> list[str]:
-    """Whole texts with a digit or `@`, at most `bound`, thinned out by a hash."""
+    """Different whole texts with a digit or `@`, at most `bound`: those with the least hashes."""
     x = docs.select(F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    n = x.count()
-    share = min(1.0, 0.9 * bound / max(1, n))
-    return sorted(r["t"] for r in x.where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < int(share * 1_000_003)).limit(bound).collect())
+    return sorted(r["t"] for r in c.sampled(x, ["t"], bound).collect())
 
 
 def learned(docs: DataFrame, text: str = "text") -> np.ndarray | None:
@@ -346,5 +375,6 @@ def replace(text: str, spans: list[tuple[int, int, int]]) -> str:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
     x = docs.select("doc_id", spans(F.col("text"), learned(docs)).alias("f")).select("doc_id", F.col("f.base").alias("base"), F.col("f.spans").alias("all"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    count = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return x.select("doc_id", *count, F.sha2(_told(F.col("base")).cast("binary"), 256).alias("base_sha256"), _told(F.col("all")).alias("spans"))
