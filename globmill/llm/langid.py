@@ -7,9 +7,10 @@ fill gives, the counts are corrected by that rate, and the language with the lar
 
 N-grams are of 2 to 4 characters over the letters of the text in lower case, with one blank for each run of anything
 else and at both ends. A language's filter holds its most frequent n-grams that are not far more frequent elsewhere.
-They are counted on a hash sample of the labelled rows, of SAMPLE documents a language at most; prediction covers all.
+They are counted on the labelled rows with the least hashes, SAMPLE documents a language at most; prediction covers all.
+HELD is the size of the model: the n-grams of one language's filter.
 
-Defined results: texts that are null or have no letter are `und` with score 0, and so are all if there is nothing to
+Defined results: an empty table gives an empty result, repeated rows give a row each; texts that are null or have no letter are `und` with score 0, and so are all if there is nothing to
 learn from. Equal counts go to the language that comes first by code point. Extra columns stay as they are.
 """
 
@@ -149,11 +150,7 @@ class Filters:
 def learn(docs: DataFrame, bound: int = SAMPLE, held: int = HELD) -> Filters:
     """Filters from the rows with a language and a text in the training folds."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (c.crc_mod(F.col("doc_id"), 4) != 2))
-    count_of = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    if not count_of:
-        return Filters.build({})
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(count_of.items()) for x in (lang, min(1.0, bound / n))])
-    kept = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    kept = c.sampled(rows.select("doc_id", "lang", "text"), ["doc_id", "text"], bound, "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

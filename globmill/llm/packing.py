@@ -8,10 +8,12 @@ that start at 0 in each segment, and the documents and offsets of its segments,
 back.
 
 Packing goes on inside a partition, in groups of at most GROUP pieces, so nothing is shuffled and a lost task's rows
-come out alike again; a hot source meets in no task. A group's last sequences are the only ones that may stay far from
-full, whatever the size of the input.
+come out alike again; a hot source meets in no task. Pieces of sequences that aren't full go on to the next group, a
+quarter of a group at most, so only a partition's last sequences may stay far from full.
 
-Defined results: a null or empty text is one end token; repeated rows are packed each; further columns are left out.
+Defined results: a null or empty text is one end token; an empty table gives no sequence; repeated rows are packed each
+and come back each (`rows` numbers them; a null key stays null); further columns are left out. Ids or lengths that don't
+fit into 16 bits are an error.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from . import bpe
 NAME, END = "byte_bpe_50k.tiktoken", 50256
 #: Tokens of a sequence, and pieces packed together.
 LENGTH, GROUP = 2048, 4096
-SCHEMA = "pack_id long, n_tokens int, n_segments int, doc_ids array<long>, offsets array<int>, cu_seqlens array<int>, ids binary, positions binary"
+#: Sequences less full than this may wait for the next group's pieces.
+FULL = 0.99
+SCHEMA = "pack_id long, n_tokens int, n_segments int, doc_ids array<long>, rows array<long>, offsets array<int>, cu_seqlens array<int>, ids binary, positions binary"
 
 
 class RoomTree:
@@ -88,15 +92,28 @@ def pieces(ids: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, ids[at : at + length]
 
 
-def sequences(group: list[tuple[int, int, np.ndarray]], length: int, end: int) -> Iterator[dict]:
-    """group: document, offset, ids of each piece."""
-    for members in best_fit_decreasing([len(x) for _, _, x in group], length):
+def sequences(group: list[tuple[int, int, int, np.ndarray]], bins: list[list[int]], length: int, end: int) -> Iterator[dict]:
+    """group: document, row, offset, ids of each piece; bins: the pieces of each sequence."""
+    for members in bins:
         ids, positions, ends = np.full(length, end, "<u2"), np.zeros(length, "<u2"), [0]
         for i in members:
-            x = group[i][2]
+            x = group[i][3]
             ids[ends[-1] : ends[-1] + len(x)], positions[ends[-1] : ends[-1] + len(x)] = x, np.arange(len(x))
             ends.append(ends[-1] + len(x))
-        yield {"n_tokens": ends[-1], "n_segments": len(members), "doc_ids": [group[i][0] for i in members], "offsets": [group[i][1] for i in members], "cu_seqlens": ends, "ids": ids.tobytes(), "positions": positions.tobytes()}
+        told = {name: [group[i][k] for i in members] for k, name in enumerate(("doc_ids", "rows", "offsets"))}
+        yield {"n_tokens": ends[-1], "n_segments": len(members), **told, "cu_seqlens": ends, "ids": ids.tobytes(), "positions": positions.tobytes()}
+
+
+def settled(sizes: list[int], bins: list[list[int]], length: int, most: int) -> tuple[list[list[int]], list[int]]:
+    """Sequences that are done, and the pieces of the emptiest ones, `most` at most, which go on to the next group."""
+    filled = [sum(sizes[i] for i in b) for b in bins]
+    open_, left = set(), most
+    for k in sorted(range(len(bins)), key=lambda k: (filled[k], k)):
+        if filled[k] >= FULL * length or len(bins[k]) > left:
+            break
+        left -= len(bins[k])
+        open_.add(k)
+    return [b for k, b in enumerate(bins) if k not in open_], sorted(i for k in open_ for i in bins[k])
 
 
 def _opened(raw: bytes):
@@ -135,36 +152,45 @@ def decode(ids: bytes, raw: bytes) -> str:
 
 def pack(docs: DataFrame, vocab: bpe.VocabularyFile, key: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP, end: int = END) -> DataFrame:
     """Packed sequences of all documents."""
+    if length > 1 << 16 or end >= 1 << 16:
+        raise ValueError("ids and positions are 16 bits wide")
     encoded = docs.select(F.col(key).cast("long").alias("key"), encode(F.col(text), vocab).alias("ids"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, n, held = TaskContext.get().partitionId() << 32, 0, []
+        base, n, row, held = TaskContext.get().partitionId() << 32, 0, 0, []
 
-        def rows(part):
+        def rows(part, last):
             nonlocal n
-            x = pd.DataFrame(list(sequences(part, length, end)))
+            sizes = [len(p[3]) for p in part]
+            bins = best_fit_decreasing(sizes, length)
+            bins, rest = (bins, []) if last else settled(sizes, bins, length, len(part) // 4)
+            x = pd.DataFrame(list(sequences(part, bins, length, end)))
             x.insert(0, "pack_id", range(base + n, base + n + len(x)))
             n += len(x)
-            return x
+            return x, [part[i] for i in rest]
 
         for b in batches:
             for k, raw in zip(b["key"], b["ids"], strict=True):
-                ids = np.append(np.frombuffer(raw, "<u4"), end).astype("<u2")
-                held += [(k, at, x) for at, x in pieces(ids, length)]
-            while len(held) >= group:
-                yield rows(held[:group])
-                held = held[group:]
+                ids = np.append(np.frombuffer(raw, "<u4"), end)
+                if ids.max() >= 1 << 16:
+                    raise ValueError("an id needs more than 16 bits")
+                held += [(None if pd.isna(k) else int(k), base + row, at, x) for at, x in pieces(ids.astype("<u2"), length)]
+                row += 1
+                while len(held) >= group:
+                    x, rest = rows(held[:group], False)
+                    yield x
+                    held = rest + held[group:]
         if held:
-            yield rows(held)
+            yield rows(held, True)[0]
 
     return encoded.mapInPandas(packed, SCHEMA)
 
 
 def unpack(packs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents of packed sequences: key, ids (little-endian unsigned 16-bit, the end token left out)."""
-    seg = packs.select("ids", F.explode(F.arrays_zip("doc_ids", "offsets", F.slice("cu_seqlens", F.lit(1), F.col("n_segments")).alias("b"), F.slice("cu_seqlens", F.lit(2), F.col("n_segments")).alias("e"))).alias("s"))
-    part = seg.select(F.col("s.doc_ids").alias(key), F.col("s.offsets").alias("at"), F.expr("substring(ids, 2 * s.b + 1, 2 * (s.e - s.b))").alias("x"))
-    whole = part.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("l"))
+    """Documents of packed sequences, each row of its own: key, ids (little-endian unsigned 16-bit, the end token left out)."""
+    seg = packs.select("ids", F.explode(F.arrays_zip("doc_ids", "rows", "offsets", F.slice("cu_seqlens", F.lit(1), F.col("n_segments")).alias("b"), F.slice("cu_seqlens", F.lit(2), F.col("n_segments")).alias("e"))).alias("s"))
+    part = seg.select(F.col("s.doc_ids").alias(key), F.col("s.rows").alias("_row"), F.col("s.offsets").alias("at"), F.expr("substring(ids, 2 * s.b + 1, 2 * (s.e - s.b))").alias("x"))
+    whole = part.groupBy("_row", key).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("l"))
     joined = F.aggregate("l", F.lit(b""), lambda a, s: F.concat(a, s["x"]))
     return whole.select(key, joined.alias("w")).select(key, F.expr("substring(w, 1, length(w) - 2)").alias("ids"))
 

@@ -6,10 +6,11 @@ direction; attention pools the states and a logistic unit scores the pool. A tex
 window, over all windows of the whole text, put on the scale of probabilities by a fit on rows that the network didn't
 learn from. Training learns from the window that scores highest in each document, and for clean ones a random one too.
 
-The labelled rows for training are a hash sample of at most SAMPLE documents for each label, so its cost doesn't grow
-with the table; scoring covers every row.
+The labelled rows for training are at most SAMPLE documents for each label, those with the least hashes, so its cost
+doesn't grow with the table; scoring covers every row. Windows of WINDOW words begin every STRIDE words, so a passage of
+up to WINDOW - STRIDE + 1 words lies whole in one.
 
-Defined results: null, empty and wordless texts score 0; with no rows of one label to learn from, every text scores 0.
+Defined results: an empty table gives an empty result, repeated rows give a row each; null, empty and wordless texts score 0; with no rows of one label to learn from, every text scores 0.
 Equal texts have equal scores. Further columns are left as they are.
 """
 
@@ -23,18 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _common as c
 
-#: Bound of the training sample: documents of each label.
-SAMPLE = 1500
-#: Words of a window and words from one window's start to the next one's.
-WINDOW, STRIDE = 32, 24
+#: Bounds of the training sample: documents of each label, and their characters.
+SAMPLE, CHARS = 1500, 8_000_000
+#: Words of a window, words from one window's start to the next one's, and the same while training.
+WINDOW, STRIDE, STRIDE_TRAINING = 32, 2, 8
 DIM, HIDDEN, ATTENTION, BUCKETS = 12, 8, 8, 4096
 EPOCHS, BATCH, RATE, SEED = 6, 64, 8e-3, 7
 #: Distinct words whose inputs a Python worker keeps, and windows scored at once.
-STORE, AT_ONCE = 100_000, 4096
+STORE, AT_ONCE = 100_000, 2048
 #: Windows and texts scored at once while training: the driver's memory is smaller than a worker's.
 AT_ONCE_TRAINING, TEXTS_TRAINING = 1024, 64
 
@@ -171,7 +173,9 @@ class Scorer:
     """Scores texts; keeps the projected inputs of the words seen."""
 
     def __init__(self, net: Network):
-        self.net, self.rows, self.table = net, {}, np.zeros((1, 6 * HIDDEN), np.float32)
+        self.net, self.rows, self.table, self.parts = net, {}, np.zeros((1, 6 * HIDDEN), np.float32), []
+        f = lambda k: np.ascontiguousarray(net.p[k].T, np.float32)
+        self.small = {k: f(k) for k in ("uf", "ub", "wa", "va", "wo")} | {k: f(k)[:, None] for k in ("cf", "cb", "ba")} | {"bo": np.float32(net.p["bo"][0])}
 
     def _add(self, words: set[str]) -> None:
         if len(self.rows) > STORE:
@@ -189,21 +193,74 @@ class Scorer:
         if len(self.rows) > STORE:
             self.rows, self.table = {}, self.table[:1]
         self._add({w for x in tokens for w in x})
-        get, parts, owner = self.rows.__getitem__, [], []
-        for k, x in enumerate(tokens):
-            if x:
-                ids = np.fromiter(map(get, x), np.int32, len(x))
-                if len(ids) < WINDOW:
-                    ids = np.r_[ids, np.zeros(WINDOW - len(ids), np.int32)]
-                at = np.array(windows(len(x)))
-                parts.append(np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[at])
-                owner.append(np.full(len(at), k))
-        if not parts:
-            return [np.zeros(0) for _ in texts]
-        where, owner = np.concatenate(parts), np.concatenate(owner)
-        out = np.concatenate([self.net.forward(self.table[w := where[i : i + AT_ONCE]], w > 0)[0] for i in range(0, len(where), AT_ONCE)])
-        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-        return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        get, out = self.rows.__getitem__, []
+        held, size = [], 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                where = np.concatenate(held)
+                got = np.concatenate([self._windows(where[i : i + AT_ONCE]) for i in range(0, len(where), AT_ONCE)])
+                out.extend(np.split(got, np.cumsum([len(h) for h in held])[:-1]))
+            held, size = [], 0
+
+        for x in tokens:
+            ids = np.fromiter(map(get, x), np.int32, len(x))
+            if len(ids) < WINDOW:
+                ids = np.r_[ids, np.zeros(WINDOW - len(ids), np.int32)]
+            own = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[windows(len(x))]
+            # windows are scored in bounded lots, a long text's too
+            for part in np.split(own, range(AT_ONCE * 4, len(own), AT_ONCE * 4)):
+                held.append(part)
+                size += len(part)
+                if size >= AT_ONCE * 4:
+                    flush()
+            self.parts.append(-(-len(own) // (AT_ONCE * 4)))
+        flush()
+        joined, at = [], 0
+        for x, n in zip(tokens, self.parts, strict=True):
+            joined.append(np.concatenate(out[at : at + n]) if x else np.zeros(0, np.float32))
+            at += n
+        self.parts.clear()
+        return joined
+
+    def _windows(self, where: np.ndarray) -> np.ndarray:
+        """Logits of windows (rows of word numbers), with one window a column, so that a step's numbers lie side by side."""
+        h, n, table, p = HIDDEN, len(where), self.table, self.small
+        steps = np.ascontiguousarray(where.T)
+        padded = (steps == 0).any()
+        states = np.empty((WINDOW, 2 * h, n), np.float32)
+        for side, cut in (("f", 0), ("b", h)):
+            state, u, b = np.zeros((h, n), np.float32), p[f"u{side}"], p[f"c{side}"]
+            for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
+                x = table[steps[t], 3 * cut : 3 * cut + 3 * h].T
+                a = u @ state
+                a += b
+                gate = a[: 2 * h] + x[: 2 * h]
+                gate *= np.float32(0.5)
+                np.tanh(gate, out=gate)
+                gate += np.float32(1)
+                gate *= np.float32(0.5)
+                new = gate[h:] * a[2 * h :]
+                new += x[2 * h :]
+                np.tanh(new, out=new)
+                state -= new
+                state *= gate[:h]
+                state += new
+                if padded:
+                    # padding stands behind a text's words: forwards the state stays, backwards it is still zero
+                    blank = steps[t] == 0
+                    state[:, blank] = states[t - 1, cut : cut + h][:, blank] if side == "f" and t else 0
+                states[t, cut : cut + h] = state
+        e = np.tanh(p["wa"] @ states + p["ba"])
+        score = np.einsum("a,tan->tn", p["va"], e)
+        if padded:
+            score[steps == 0] = -1e9
+        score -= score.max(0)
+        np.exp(score, out=score)
+        score /= score.sum(0)
+        each = np.einsum("h,thn->tn", p["wo"], states)
+        return (score * each).sum(0) + p["bo"]
 
     def scores(self, texts: list[str | None]) -> list[float]:
         a, b = self.net.scale
@@ -241,7 +298,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         x = np.array([rows[w] for w in tokens[i]], np.int32)
         if len(x):
             x = np.r_[x, np.full(max(0, WINDOW - len(x)), -1, np.int32)]
-            docs.append((int(y[i]), np.lib.stride_tricks.sliding_window_view(x, WINDOW)[windows(int((x >= 0).sum()))]))
+            docs.append((int(y[i]), np.lib.stride_tricks.sliding_window_view(x, WINDOW)[windows(int((x >= 0).sum()), stride=STRIDE_TRAINING)]))
     del tokens, seen, rows, words
     weight = {1: 1.0, 0: n[1] / max(1, n[0]) if n[1] < n[0] else 1.0}
     lifted = np.maximum(start[ids], 0)
@@ -298,17 +355,17 @@ def _fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.05)), float(b)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> list:
-    """Texts and labels to learn from: the rows of the fold, at most `bound` of each label, thinned out by a hash."""
-    rows = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    x = docs.where(F.col("text").isNotNull() & (c.crc_mod(F.col("doc_id"), 5) != 0)).select("doc_id", "text").join(rows, "doc_id")
-    count = {r["toxic"]: r["count"] for r in rows.where(c.crc_mod(F.col("doc_id"), 5) != 0).groupBy("toxic").count().collect()}
-    out = []
-    for label in (0, 1):
-        share = min(1.0, 0.9 * bound / max(1, count.get(label, 0)))
-        kept = x.where((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003)))
-        out += kept.select("doc_id", "text", "toxic").limit(bound).collect()
-    return sorted(out, key=lambda r: (r["doc_id"], r["text"]))
+def training_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, chars: int = CHARS) -> list:
+    """Texts and labels to learn from: rows of the fold, at most `bound` of each label by hash, and at most `chars` characters of each label in all.
+
+    The ids are drawn first and are few, so they are broadcast. Of a doc_id's texts the least is taken. Texts longer than
+    a twentieth of `chars` aren't learned from; they are scored like all others.
+    """
+    rows = labels.where(F.col("toxic").isin(0, 1) & (c.crc_mod(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    drawn = c.sampled(rows, ["doc_id"], bound, "toxic")
+    x = docs.where(F.length("text") <= chars // 20).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    upto = F.sum(F.length("text")).over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id")))
+    return sorted(x.withColumn("_upto", upto).where(F.col("_upto") <= chars).select("doc_id", "text", "toxic").collect(), key=lambda r: (r["doc_id"], r["text"]))
 
 
 def learned(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Network | None:
