@@ -15,8 +15,10 @@
    expanded into its pairs.
 
 Defined results: a text that is null or has no words has no shingles and is alone; one with fewer words than a shingle
-has its whole sequence as one shingle. Ties fall into one class; rows alike in key and text give one row. Extra columns
-are not used.
+has its whole sequence as one shingle. Ties fall into one class; every row gives a row, so repeated rows are repeated;
+rows that share a key but not the text are one document that links by each of its texts. A row without a key links with
+nothing by name: its component is the least key of its class, null (and kept) if there is none. An empty table gives an
+empty result; extra columns are not used.
 """
 
 from __future__ import annotations
@@ -36,8 +38,11 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS, SEED = 30, 5, 11
 #: Share of agreeing signature bytes below which a pair is left unverified: at similarity 0.8 and 150 bytes, 4.6 standard deviations below the mean.
 AGREE = 0.65
-#: Rows of a block when members of a bucket are compared.
+#: Rows of a block when members of a bucket are compared, and shingles of their sets (a longer document is a block of its own).
 STRAYS, MEMBERS = 512, 4096
+STRAY_SHINGLES, MEMBER_SHINGLES = 1 << 19, 1 << 21
+#: A class of equal texts that holds one in HOT rows is joined by broadcast: there are HOT such classes at most.
+HOT = 1000
 #: About how many rows of small buckets are compared in one call.
 GROUP = 2000
 #: Shingles hashed at once; longer documents are hashed piece by piece.
@@ -167,18 +172,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 def _blocks(x: DataFrame, what: str) -> DataFrame:
     """Deal the members of mixed buckets to groups (slot, i, j): strays to blocks i, all members to blocks j.
 
-    x: band, key, id, component. Strays go to every j and members to every i, so a bucket has about STRAYS and MEMBERS
-    rows in a group at most, however large it is. Small buckets share groups of about GROUP rows.
+    x: band, key, id, component, size. Strays go to every j and members to every i, so a bucket has about STRAYS and MEMBERS
+    rows, and as many shingles as are stated, in a group at most, however large it is. Small buckets share groups of about
+    GROUP rows.
     """
-    counts = x.groupBy("band", "key", "component").agg(F.count("*").alias("_n"))
-    mixed = counts.groupBy("band", "key").agg(F.count("*").alias("_parts"), F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_most")).where("_parts > 1")
-    mixed = c.stored(mixed.select("band", "key", "_all", F.col("_most._n").alias("_n"), F.col("_most.component").alias("_component")), f"minhash-{what}")
-    slots = max(1, (mixed.agg(F.sum("_all")).first()[0] or 0) // GROUP)
+    counts = x.groupBy("band", "key", "component").agg(F.count("*").alias("_n"), F.sum("size").alias("_t"))
+    mixed = counts.groupBy("band", "key").agg(F.count("*").alias("_parts"), F.sum("_n").alias("_all"), F.sum("_t").alias("_size"), F.max(F.struct("_n", "component", "_t")).alias("_most")).where("_parts > 1")
+    mixed = c.stored(mixed.select("band", "key", "_all", "_size", F.col("_most._n").alias("_n"), F.col("_most._t").alias("_t"), F.col("_most.component").alias("_component")), f"minhash-{what}")
+    slots = max(1, (mixed.agg(F.sum(F.greatest(F.col("_all"), F.col("_size") * GROUP / MEMBER_SHINGLES))).first()[0] or 0) // GROUP)
     x = x.join(mixed, ["band", "key"]).withColumn("stray", F.col("component") != F.col("_component"))
-    x = x.withColumn("_s", F.ceil((F.col("_all") - F.col("_n")) / STRAYS)).withColumn("_m", F.ceil(F.col("_all") / MEMBERS))
+    blocks = lambda rows, size, most, shingles: F.greatest(F.ceil(rows / most), F.ceil(size / shingles))
+    x = x.withColumn("_s", blocks(F.col("_all") - F.col("_n"), F.col("_size") - F.col("_t"), STRAYS, STRAY_SHINGLES)).withColumn("_m", blocks(F.col("_all"), F.col("_size"), MEMBERS, MEMBER_SHINGLES))
     deal = lambda n: F.pmod(F.xxhash64("id", "band"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-    names = ["band", "key", "id", "component", F.pmod(F.xxhash64("band", "key"), F.lit(slots)).alias("slot")]
+    names = ["band", "key", "id", "component", F.pmod(F.xxhash64("band", "key"), F.lit(int(slots))).alias("slot")]
     left = x.where("stray").select(*names, deal(F.col("_s")).alias("i"), every(F.col("_m")).alias("j"), F.lit(True).alias("stray"))
     right = x.select(*names, every(F.col("_s")).alias("i"), deal(F.col("_m")).alias("j"), F.lit(False).alias("stray"))
     return left.unionAll(right)
@@ -242,7 +249,7 @@ def _rest(buckets: DataFrame, parts: DataFrame, signed: DataFrame, texts: DataFr
                     v.append(ids[h])
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    told = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
+    told = buckets.join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", "size", F.coalesce("component", "id").alias("component"))
     told = c.stored(told, "minhash-told")
     group = ["slot", "i", "j"]
     dealt = _blocks(told, "mixed").join(signed, "id")
@@ -257,26 +264,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """Per row of docs: key, n_shingles, component_id (least key reachable by links), kept (key is the least)."""
     base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     every = c.stored(base.select("key", signatures(F.col("text"), n).alias("s")).select("key", "s.*"), "minhash-signatures")
-    owners = every.where("size > 0").groupBy("class").agg(F.min("key").alias("id"))
-    alone = F.coalesce("class", F.col("key").cast("string").cast("binary"))  # no null keys in the join
-    member = every.select("key", "size", alone.alias("class")).join(owners, "class", "left").select("key", F.coalesce("id", "key").alias("id"), "size").distinct()
-    member = c.stored(member, "minhash-member")
+    owners = c.stored(every.where("size > 0").groupBy("class").agg(F.min("key").alias("id"), F.count("*").alias("_n")), "minhash-owners")
+    member = c.stored(_owned(every, owners), "minhash-member")
     heads = owners.select("id", "class").join(every.withColumnRenamed("key", "id"), ["id", "class"]).dropDuplicates(["id", "class"])
-    signed = c.stored(heads.select("id", "near", "keys"), "minhash-heads")
+    signed = c.stored(heads.select("id", "size", "near", "keys"), "minhash-heads")
     texts = base.withColumnRenamed("key", "id")
-    rows = signed.select("id", F.posexplode("keys").alias("band", "key"))
+    rows = signed.select("id", "size", F.posexplode("keys").alias("band", "key"))
     least = rows.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     # members of buckets with more than one, each with the bucket's least one
     buckets = c.stored(rows.join(least, ["band", "key"]), "minhash-buckets")
     pairs = c.stored(_agree(buckets.where("id > head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct(), signed), "minhash-pairs")
     links = c.stored(_verified(pairs, texts, n, percent), "minhash-links")
     parts = components(links)
-    more = c.stored(_rest(buckets.select("band", "key", "id"), parts, signed, texts, n, percent), "minhash-rest")
+    more = c.stored(_rest(buckets.select("band", "key", "id", "size"), parts, signed, texts, n, percent), "minhash-rest")
     if not more.isEmpty():
         parts = components(links.unionAll(more))
     out = member.join(parts.withColumnRenamed("node", "id"), "id", "left")
     out = out.select("key", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("key") == F.col("component_id"))
+    return out.withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
+
+
+def _owned(every: DataFrame, owners: DataFrame) -> DataFrame:
+    """key, id (least key of its class, or its own), size of every row. Classes with many rows are few and joined by broadcast, so none meets in one task."""
+    total = every.count()
+    names = [F.col("key"), F.coalesce("id", "key").alias("id"), F.col("size")]
+    hot = owners.where(F.col("_n") * HOT >= max(total, HOT)).select("class", F.col("id").alias("_hot"))
+    # a wordless row has no class: it gets one of its own for the join, as no null key may gather in a task
+    x = every.select("key", "size", F.coalesce("class", F.concat(F.lit("-"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary")).alias("class"), F.col("class").isNull().alias("_alone"))
+    x = x.join(F.broadcast(hot), "class", "left")
+    done = x.where(F.col("_alone") | F.col("_hot").isNotNull()).select("key", F.coalesce("_hot", "key").alias("id"), "size")
+    rest = x.where(~F.col("_alone") & F.col("_hot").isNull()).join(owners.where(F.col("_n") * HOT < max(total, HOT)).select("class", "id"), "class", "left")
+    return done.unionAll(rest.select(*names))
 
 
 def components(links: DataFrame) -> DataFrame:
