@@ -103,7 +103,7 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 def sampled(df: DataFrame, by: list[str], bound: int, group: str | None = None) -> DataFrame:
     """At most `bound` rows (of each group) with different values of `by`: those with the least 64-bit hashes of them.
 
-    The number of different hashes is estimated first, and only rows below about 1.5 * bound of them go on, so a task
+    The number of different hashes is estimated first, and only rows below about 1.5 * bound + 30 of them go on, so a task
     gets few rows whatever the table's size, and copies of a row, however many, are one row of the sample. Groups are few
     (labels, languages); a group of null isn't sampled.
     """
@@ -114,7 +114,7 @@ def sampled(df: DataFrame, by: list[str], bound: int, group: str | None = None)
         return df.limit(0)
     below = F.lit(None).cast("long")
     for r in told:
-        share = 1.5 * bound / max(1, r["n"])
+        share = (1.5 * bound + 30) / max(1, r["n"])
         below = F.when(F.col(name) == F.lit(r[name]), F.lit(2**63 - 1 if share >= 0.9 else -(2**63) + int(share * 2**64))).otherwise(below)
     one = x.where(F.col("_hash") <= below).dropDuplicates([name, "_hash"])
     nth = F.row_number().over(W.partitionBy(name).orderBy("_hash"))

@@ -7,7 +7,8 @@ exactly, in the order of the merges.
 
 Defined results: a null text has no tokens; so has an empty one. Strings of special tokens in a text become those
 tokens. Decoding joins the tokens' strings by one blank (the vocabulary file has no decoder); null ids give an empty
-text. Rows are independent: repeats, ties and further columns change nothing.
+text. Rows are independent: repeats, ties and further columns change nothing, and an empty table gives an empty result;
+a column that has the name of a new one (`ids`) gives way to it.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ phrase needs all of them on one diagonal: its words then stand one after another
 The templates are a fixed list (under 200 pairs), so the broadcast doesn't grow. A template has 64 words at most.
 
 Defined results: null texts are empty, with no words and no labels; a phrase that repeats counts at every place;
-repeated rows get the same result each; other columns are not looked at.
+repeated rows get the same result each; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -148,7 +148,7 @@ def curriculum(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """
     names = docs.columns
     keyed = docs.withColumn("_mix_key", F.concat_ws("/", F.coalesce(F.col(key).cast("string"), F.lit("-")), F.xxhash64(*names, *[F.col(k).isNull() for k in names]).cast("string")))
-    planned = plan(keyed.select("_mix_key", F.col(options.pop("text", "text")).alias("text"), F.col(options.pop("source", "source")).alias("source")), key="_mix_key", order="_mix_key", **options)
+    planned = plan(keyed.select("_mix_key", F.col(key).alias("_mix_order"), F.col(options.pop("text", "text")).alias("text"), F.col(options.pop("source", "source")).alias("source")), key="_mix_key", order="_mix_order", **options)
     placed = positions(planned).select(F.col("key").alias("_mix_key"), F.col("position").alias("_mix_position"), F.col("epoch").alias("_mix_epoch"))
     # the text goes through one shuffle by the key, for the removal of repeats and the join, and one by position
     out = keyed.dropDuplicates(["_mix_key"]).join(placed, "_mix_key")
@@ -166,8 +166,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(doc_id::VARCHAR) AS o
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS o
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS nth FROM s),
@@ -180,8 +180,8 @@ l AS (
 t AS (SELECT *, coalesce(least(cap, weight * (min(CASE WHEN level <= ratio THEN {'r': ratio, 'n': nth, 'l': level} END) OVER ()).l), cap) AS target FROM l),
 m AS (SELECT *, coalesce(sum(target) FILTER (nth % 3 = 0) OVER (), 0) AS d0, coalesce(sum(target) FILTER (nth % 3 = 1) OVER (), 0) AS d1, coalesce(sum(target) FILTER (nth % 3 = 2) OVER (), 0) AS d2 FROM t),
 x AS (
-  SELECT d.doc_id, d.size, m.source_size, m.target, m.nth, d0, d1, d2,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT d.rid, d.doc_id, d.size, m.source_size, m.target, m.nth, d0, d1, d2,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY o, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source),
 y AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE (start + size / 2 < target)::INT + (start + size / 2 + source_size < target)::INT + (start + size / 2 + 2 * source_size < target)::INT END AS times
@@ -202,6 +202,5 @@ p AS (
     + d2 * CASE WHEN t <= 0.5 THEN t * 0.5 + t * t * 0.5 ELSE 0.375 + (t - 0.5) + (t - 0.5) * (t - 0.5) * 0.5 END, 3) END AS place
   FROM i)
 SELECT a.doc_id, a.size, a.source_size, a.target, (a.times * a.size)::BIGINT AS taken, a.place AS position, b.place AS last_position
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size, target, place) AS r FROM p WHERE which = 1) a
-JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size, target, place) AS r FROM p WHERE which = 2) b ON a.doc_id = b.doc_id AND a.r = b.r
+FROM p a JOIN p b ON a.rid = b.rid AND a.which = 1 AND b.which = 2
 """

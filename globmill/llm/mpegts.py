@@ -6,7 +6,8 @@ a clock reference, and all transport packets have 188 bytes with a continuity co
 such stream: it follows the tables to the programs' elementary streams, checks the counters (repeated packets are left
 out, gaps are reported), puts elementary packets together and lists time stamps and random-access points.
 
-Defined results: the payload of a null text is that of an empty one; extra columns stay as they are. A stream that is
+Defined results: the payload of a null text is that of an empty one; repeated rows have a stream each; an empty table
+gives an empty result; extra columns stay as they are, but one with the name of the media column gives way. A stream that is
 cut, has lost packets or a wrong table check sum is read as far as it goes, and its faults are counted.
 """
 
@@ -242,4 +243,6 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
+        # each random-access point: its time stamp and where its transport packet begins
+        F.arrays_zip(F.col("s.stamps").alias("pts"), F.col("s.access").alias("at")).alias("access_points"),
     )
