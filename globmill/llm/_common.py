@@ -66,8 +66,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/globmill/{what}-{os.getpid()}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, at = _files(spark, path)
-    fs.deleteOnExit(at)
+    delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     _PATHS.append(path)
@@ -78,6 +77,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 _PATHS: list[str] = []
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    fs, at = _files(spark, path)
+    fs.deleteOnExit(at)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, at = _files(spark, path)
     fs.delete(at, True)
