@@ -66,14 +66,20 @@ STAGES = [
     ("encoding", encode),
 ]
 
-#: SQL can't express the classifier, the field or the merges; tests hold each stage against a plain version.
+#: SQL can't express the classifier, the field or the merges; tests hold each stage and run() against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _common.table(spark, sf_dir, "documents")
+    """The last stage's rows. What the stages store and their outputs are deleted as soon as the next one is written, the last one when the session ends."""
+    docs, path = _common.table(spark, sf_dir, "documents"), None
     folder = f"{_common.shared_dir(spark)}/pipeline-{os.getpid()}-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
+        before, path = path, f"{folder}/{k}-{name}"
+        with _common.tidy(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            _common.delete(spark, before)
         docs = spark.read.parquet(path)
+    _common.delete_at_end(spark, folder)
     return docs
