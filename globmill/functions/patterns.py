@@ -70,9 +70,47 @@ def suffixes(q: Column) -> Column:
     return F.transform(prefixes(F.reverse(q)), F.reverse)
 
 
-def delimiter(q: Column) -> Column:
-    """Each prefix with a `%` at its end."""
-    return F.transform(prefixes(q), lambda p: F.when(p.endswith("%"), p).otherwise(F.concat(p, F.lit("%"))))
+def parts_upto(s: Column, most: int) -> Column:
+    """All different substrings of up to `most` characters."""
+    n = F.length(s)
+    at = lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(most), n - i + 1))), lambda k: F.substr(s, i, k))
+    return F.when(n > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at)))).otherwise(F.array().cast("array<string>"))
+
+
+def prefixes_upto(s: Column, most: int) -> Column:
+    n = F.least(F.length(s), F.lit(most))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substr(s, F.lit(1), k))).otherwise(F.array().cast("array<string>"))
+
+
+def suffixes_upto(s: Column, most: int) -> Column:
+    n = F.least(F.length(s), F.lit(most))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.right(s, k))).otherwise(F.array().cast("array<string>"))
+
+
+def delimiter(q: Column, unique: bool = False, trim: bool = False) -> Column:
+    """Each prefix with a `%` at its end. unique: prefixes that end with one already are left out, but for a leading `%`; trim: the whole pattern's own is left out (suffix patterns, which end without a `%`)."""
+    ended = lambda p: F.when(p.endswith("%"), p).otherwise(F.concat(p, F.lit("%")))
+    parts = prefixes(q)
+    if unique:
+        parts = F.filter(parts, lambda p: ~p.endswith("%") | (p == "%"))
+    out = F.transform(parts, ended)
+    return F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))) if trim else out
+
+
+def augmented(q: Column) -> Column:
+    """All augmentations of a pattern, sorted: prefixes, prefixes with a `%`, placeholders, and sub-patterns."""
+    return F.array_sort(F.array_distinct(F.concat(prefixes(q), delimiter(q), placeholder(q), packed(q))))
+
+
+def wildcard_runs(q: Column) -> Column:
+    """The different wildcard runs of a pattern, sorted: alphabets of models that read a run as one sign."""
+    return F.array_sort(F.array_distinct(F.filter(runs(q), is_wild)))
+
+
+def sort_key(q: Column) -> Column:
+    """Numbers whose order puts wildcards before characters, `%` before `_`, and characters by descending code point; a pattern comes before those that go on from it."""
+    code = lambda ch: F.conv(F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("int")
+    return F.transform(F.filter(F.split(q, ""), lambda ch: ch != ""), lambda ch: F.when(ch == "%", F.lit(-2)).when(ch == "_", F.lit(-1)).otherwise(F.lit(0x110000) - code(ch)))
 
 
 def placeholder(q: Column) -> Column:
@@ -126,5 +164,5 @@ def conditional_steps(q: Column) -> Column:
             F.when(wild, state["out"]).otherwise(F.concat(state["out"], steps)).alias("out"),
         )
 
-    end = F.aggregate(F.split(q, ""), empty, add)
+    end = F.aggregate(F.filter(F.split(q, ""), lambda ch: ch != ""), empty, add)
     return F.when(end["gap"] == "%", end["out"]).otherwise(F.concat(end["out"], F.array(q)))

@@ -73,3 +73,10 @@ def one_hot(s: Column, letters: str, width: int) -> Column:
     """0/1 of each letter at each of the first `width` places, place by place."""
     at = F.sequence(F.lit(1), F.lit(width))
     return F.flatten(F.transform(at, lambda i: F.transform(F.array(*[F.lit(c) for c in letters]), lambda c: ((F.length(s) >= i) & (F.substr(s, i, F.lit(1)) == c)).cast("int"))))
+
+
+def hashed(s: Column, buckets: int, width: int) -> Column:
+    """Buckets (from 1) of the first `width` characters' code points; 0 fills up."""
+    at = F.sequence(F.lit(1), F.lit(width))
+    code = lambda i: F.conv(F.hex(F.encode(F.substr(s, i, F.lit(1)), "UTF-32")), 16, 10).cast("int")
+    return F.transform(at, lambda i: F.when(i > F.length(s), F.lit(0)).otherwise(code(i) % buckets + 1))

@@ -5,13 +5,14 @@ Every engine gives the same counts and keeps patterns without a match, with 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 
-#: Rows of patterns up to which they are broadcast; checked, as broadcasts must not grow with the data.
-BROADCAST_ROWS = 20_000
+#: Rows and bytes of patterns up to which they are broadcast; checked, as broadcasts must not grow with the data.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 4 << 20
 GRAM = 3
 
 
@@ -25,11 +26,59 @@ def _all(patterns: DataFrame, hits: DataFrame) -> DataFrame:
     return patterns.select("pattern").distinct().join(got, "pattern", "left").select("pattern", F.coalesce("card", F.lit(0)).cast("long").alias("card"))
 
 
+def small(x: DataFrame, column: str) -> bool:
+    """Whether a table with a text column may be broadcast, by its rows and the bytes of that column."""
+    n, size = x.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def naive(strings: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Every string with every pattern: for small pattern sets, which are broadcast after a check of their number."""
+    """Every string with every pattern: for small pattern sets, which are broadcast after a check of their size. Larger ones go by lengths: patterns of wildcards alone by lengths of strings, the others by each string's characters."""
+    p = patterns.select("pattern").distinct()
+    if not small(p, "pattern"):
+        return by_parts(strings, p)
+    # the longest token is looked for first: that needs no expression to be compiled
+    told = p.withColumn("_t", longest(F.col("pattern")))
+    return _all(p, strings.join(F.broadcast(told), F.contains(F.col("s"), F.col("_t")) & P.like("s", "pattern")))
+
+
+def longest(q) -> Column:
+    """The longest token of a pattern (of several, the first), or the empty string."""
+    t = F.transform(P.tokens(q), lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))
+    return F.coalesce(F.array_min(t)["t"], F.lit(""))
+
+
+def holders(strings: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The columns of patterns (which have tokens) with s, w of the strings that hold their longest token: an equality join on the substrings of the lengths that such tokens have."""
+    p = patterns.withColumn("_token", longest(F.col("pattern")))
+    tokens = p.select("_token").distinct().withColumn("_n", F.length("_token"))
+    sizes = tokens.select("_n").distinct()  # as many rows as there are lengths of tokens
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - F.col("_n") + 1), lambda i: F.substr(F.col("s"), i, F.col("_n"))))
+    held = strings.join(F.broadcast(sizes), F.length("s") >= F.col("_n")).select("s", "w", F.explode(parts).alias("_token")).join(tokens.select("_token"), "_token", "left_semi")
+    return held.join(p, "_token").select(*patterns.columns, "s", "w")
+
+
+def bare(strings: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Patterns of wildcards alone: by the number of their underscores and the strings' lengths, of which there are few."""
+    q = P.canonical(F.col("pattern"))
+    p = patterns.select("pattern").distinct().select("pattern", F.length(F.replace(q, F.lit("%"), F.lit(""))).alias("n"), F.contains(q, F.lit("%")).alias("open"))
+    lengths = strings.groupBy(F.length("s").alias("n")).agg(F.sum("w").alias("w"))
+    # for each length that occurs, the weight of it and of all from it on
+    lengths = lengths.withColumn("up", F.sum("w").over(W.orderBy(F.desc("n"))))
+    exact = p.where("not open").join(lengths, "n", "left").select("pattern", F.coalesce("w", F.lit(0)).alias("w"))
+    asked = p.where("open").select("n").distinct()
+    reach = asked.withColumn("w", F.lit(None).cast("long")).unionAll(lengths.select("n", "up"))
+    reach = reach.groupBy("n").agg(F.max("w").alias("w")).withColumn("w", F.first("w", ignorenulls=True).over(W.orderBy("n").rowsBetween(0, W.unboundedFollowing)))
+    opened = p.where("open").join(reach, "n").select("pattern", F.coalesce("w", F.lit(0)).alias("w"))
+    return _all(p, exact.unionAll(opened))
+
+
+def by_parts(strings: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Strings that hold a pattern's longest token, then LIKE; wildcards alone by lengths. No string meets all patterns."""
     p = patterns.select("pattern").distinct()
-    small = p.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return _all(p, strings.join(F.broadcast(p) if small else p, P.like("s", "pattern")))
+    some = p.where(F.col("pattern").rlike("[^%_]"))
+    hits = holders(strings, some).where(P.like("s", "pattern")).select("pattern", "w")
+    return _all(some, hits).unionAll(bare(strings, p.where(~F.col("pattern").rlike("[^%_]"))))
 
 
 def grams(s, n: int = GRAM):
@@ -39,38 +88,45 @@ def grams(s, n: int = GRAM):
 
 
 def candidates(strings: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Strings that share the rarest gram of a pattern, then LIKE. Patterns without a token of GRAM characters go to naive()."""
+    """Strings that share the rarest gram of a pattern, then LIKE. Patterns without a token of GRAM characters go to by_parts()."""
     p = patterns.select("pattern").distinct()
     own = p.select("pattern", F.explode(F.flatten(F.transform(P.tokens(F.col("pattern")), lambda t: grams(t)))).alias("gram"))
     index = strings.select("s", "w", F.explode(grams(F.col("s"))).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
     frequency = index.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = own.join(frequency, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram"))["gram"].alias("gram"))
     hits = index.join(rarest, "gram").where(P.like("s", "pattern")).select("pattern", "w")
-    long = _all(rarest, hits)
-    return long.unionAll(naive(strings, p.join(rarest, "pattern", "left_anti")))
+    return _all(rarest, hits).unionAll(by_parts(strings, p.join(rarest, "pattern", "left_anti")))
 
 
 def typed(strings: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Exact, prefix and suffix patterns with one token by equal keys; the others by candidates()."""
+    """Exact, prefix and suffix patterns with one token by equal keys; the others by candidates().
+
+    A string's sides are cut at the lengths that the patterns' tokens have, not at all of its own.
+    """
     p = patterns.select("pattern").distinct()
     q, t = F.col("pattern"), P.tokens(F.col("pattern"))
     told = p.withColumn("kind", F.when((F.size(t) == 1) & (P.canonical(q) == q) & ~F.contains(q, F.lit("_")), P.kind(q)).otherwise("OTHER")).withColumn("token", F.get(t, F.lit(0)))
-    sides = strings.select("s", "w", F.explode(F.concat(
-        F.array(F.struct(F.lit("EXACT").alias("kind"), F.col("s").alias("token"))),
-        F.transform(P.prefixes(F.col("s")), lambda x: F.struct(F.lit("PREFIX").alias("kind"), x.alias("token"))),
-        F.transform(P.suffixes(F.col("s")), lambda x: F.struct(F.lit("SUFFIX").alias("kind"), x.alias("token"))),
-    )).alias("k")).select("w", "k.kind", "k.token")
     keyed = told.where("kind IN ('EXACT', 'PREFIX', 'SUFFIX')")
+    sizes = keyed.select("kind", F.length("token").alias("n")).distinct()  # as many rows as there are kinds and lengths of tokens
+    fits = (F.length("s") >= F.col("n")) & ((F.col("kind") != "EXACT") | (F.length("s") == F.col("n")))
+    side = F.when(F.col("kind") == "SUFFIX", F.right("s", F.col("n"))).otherwise(F.substr("s", F.lit(1), F.col("n")))
+    sides = strings.join(F.broadcast(sizes), fits).select("w", "kind", side.alias("token")).groupBy("kind", "token").agg(F.sum("w").alias("w"))
     return _all(keyed, keyed.join(sides, ["kind", "token"])).unionAll(candidates(strings, told.where("kind IN ('OTHER', 'SUBSTR')")))
 
 
 def postings(strings: DataFrame, tokens: DataFrame) -> DataFrame:
-    """token, s, w, pos (ascending positions, from 1) of the tokens of a workload alone."""
+    """token, s, w, pos (ascending positions, from 1) of the tokens of a workload alone. Further columns of strings come along."""
     lengths = tokens.select("token").distinct().withColumn("n", F.length("token"))
     sizes = lengths.select("n").distinct()  # as many rows as there are lengths of tokens
-    windows = strings.join(F.broadcast(sizes), F.length("s") >= F.col("n")).select("s", "w", "n", F.posexplode(F.sequence(F.lit(1), F.length("s") - F.col("n") + 1)).alias("_i", "p"))
-    windows = windows.withColumn("token", F.substr("s", "p", "n")).join(lengths.select("token"), "token", "left_semi")
-    return windows.groupBy("token", "s", "w").agg(F.array_sort(F.collect_list("p")).alias("pos"))
+    places = F.transform(F.sequence(F.lit(1), F.length("s") - F.col("n") + 1), lambda p: F.struct(F.substr(F.col("s"), p, F.col("n")).alias("token"), p.alias("p")))
+    windows = strings.join(F.broadcast(sizes), F.length("s") >= F.col("n")).select(*strings.columns, F.explode(places).alias("x"))
+    windows = windows.select(*strings.columns, "x.token", "x.p").join(lengths.select("token"), "token", "left_semi")
+    return windows.groupBy("token", *strings.columns).agg(F.array_sort(F.collect_list("p")).alias("pos"))
+
+
+def numbered(strings: DataFrame) -> DataFrame:
+    """Adds sid, a 128-bit number that stands for the string in joins, and its length. Strings are distinct; two share a number with probability n^2 / 2^129."""
+    return strings.withColumn("sid", F.struct(F.xxhash64("s").alias("a"), F.xxhash64(F.reverse("s"), F.length("s")).alias("b"))).withColumn("len", F.length("s"))
 
 
 def positional(strings: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -80,11 +136,11 @@ def positional(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     p = patterns.select("pattern").distinct().withColumn("q", P.canonical(F.col("pattern")))
     p = p.withColumn("t", P.tokens(F.col("q"))).withColumn("o", P.ops(F.col("q"))).withColumn("m", F.size("t"))
-    bare = p.where("m = 0").select("pattern", "q")
-    most, n = p.agg(F.coalesce(F.max("m"), F.lit(0)), F.count_if(F.col("m") == 0)).first()
-    plain = strings.join(F.broadcast(bare) if n <= BROADCAST_ROWS else bare, P.like("s", "q")).select("pattern", "w")
+    most = p.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
+    plain = bare(strings, p.where("m = 0")).select("pattern", F.col("card").alias("w"))
     some = p.where("m > 0")
-    post = postings(strings, some.select(F.explode("t").alias("token")))
+    # lists are joined by the strings' numbers: the strings themselves stay behind
+    post = postings(numbered(strings), some.select(F.explode("t").alias("token"))).select("token", "sid", "len", "w", "pos")
     under = lambda o: F.length(F.replace(o, F.lit("%"), F.lit("")))
     head = lambda k: F.concat_ws("\0", *[F.concat(F.get("o", F.lit(i)), F.lit("\1"), F.get("t", F.lit(i))) for i in range(k + 1)])
     done, state = plain, None
@@ -93,12 +149,12 @@ def positional(strings: DataFrame, patterns: DataFrame) -> DataFrame:
         if state is None:
             x = here.join(post, "token").withColumn("lo", under(F.col("op")) + 1).withColumn("from", F.array("lo"))
         else:
-            x = here.join(state, "up").join(post, ["token", "s", "w"]).withColumn("d", under(F.col("op")) + F.length("last"))
+            x = here.join(state, "up").join(post, ["token", "sid", "len", "w"]).withColumn("d", under(F.col("op")) + F.length("last"))
             x = x.withColumn("lo", F.array_min("prev") + F.col("d")).withColumn("from", F.transform("prev", lambda v: v + F.col("d")))
         kept = F.when(F.contains("op", F.lit("%")), F.filter("pos", lambda v: v >= F.col("lo"))).otherwise(F.array_intersect("pos", "from"))
-        x = x.withColumn("prev", kept).where(F.size("prev") > 0).select(F.col("path").alias("up"), "s", "w", "prev", F.col("token").alias("last"))
+        x = x.withColumn("prev", kept).where(F.size("prev") > 0).select(F.col("path").alias("up"), "sid", "len", "w", "prev", F.col("token").alias("last"))
         ends = some.where(F.col("m") == k + 1).select("pattern", head(k).alias("up"), F.get("o", F.lit(k + 1)).alias("tail"))
-        room = F.length("s") - F.length("last") + 1 - under(F.col("tail"))
+        room = F.col("len") - F.length("last") + 1 - under(F.col("tail"))
         fits = F.when(F.contains("tail", F.lit("%")), F.array_min("prev") <= room).otherwise(F.array_contains("prev", room))
         done = done.unionAll(ends.join(x, "up").where(fits).select("pattern", "w"))
         state = x
@@ -120,3 +176,10 @@ def suffix_cards(strings: DataFrame, patterns: DataFrame, engine=typed) -> DataF
     """The same of every suffix: both sides reversed."""
     s, p = reverse_both(strings, patterns.select(P.canonical(F.col("pattern")).alias("pattern")).distinct())
     return prefix_cards(s, p, engine, lambda q: q).select(F.reverse("pattern").alias("pattern"), F.col("prefix_len").alias("suffix_len"), "card")
+
+
+def both_cards(strings: DataFrame, patterns: DataFrame, engine=typed) -> DataFrame:
+    """pattern, card: the counts of all prefixes and all suffixes of the canonical forms, each once."""
+    q = patterns.select(P.canonical(F.col("pattern")).alias("pattern")).distinct()
+    parts = q.select(F.explode(F.concat(P.prefixes(F.col("pattern")), P.suffixes(F.col("pattern")))).alias("pattern")).distinct()
+    return engine(strings, parts)

@@ -65,12 +65,14 @@ def prefix_labels(patterns: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def all_tokens_occur(strings: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, n: weight of the strings that hold all of a pattern's tokens, in any order. patterns is a query workload, checked as in the counting engines."""
-    from .counting import BROADCAST_ROWS
+    """pattern, n: weight of the strings that hold all of a pattern's tokens, in any order; of all strings for patterns without tokens."""
+    from .counting import holders
 
     p = patterns.select("pattern").distinct().withColumn("t", P.tokens(F.col("pattern")))
-    small = p.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = strings.join(F.broadcast(p) if small else p, F.forall("t", lambda t: F.contains(F.col("s"), t))).groupBy("pattern").agg(F.sum("w").alias("n"))
+    whole = strings.agg(F.sum("w").alias("w"))
+    hits = holders(strings, p.where(F.size("t") > 0)).where(F.forall("t", lambda t: F.contains(F.col("s"), t))).select("pattern", "w")
+    hits = hits.unionAll(p.where(F.size("t") == 0).crossJoin(F.broadcast(whole)).select("pattern", "w"))
+    hits = hits.groupBy("pattern").agg(F.sum("w").alias("n"))
     return p.select("pattern").join(hits, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -87,6 +89,67 @@ def neighbour_lcp(patterns: DataFrame, width: int = 4) -> DataFrame:
     return x.select("pattern", F.size(F.filter(P.prefixes(F.col("pattern")), lambda p: F.startswith(F.coalesce("_before", "_other"), p))).alias("lcp"))
 
 
+def shared_starts(patterns: DataFrame, width: int = 4) -> DataFrame:
+    """pattern, nth (from 0), shares: patterns in wildcard-aware order (see patterns.sort_key), and whether the next one goes on from this one with a wildcard, so that what is found for its last token is of use again.
+
+    In that order all continuations of a pattern follow it, those by a wildcard first: so a pattern shares just if another
+    one starts with it and goes on with a wildcard, which an equality join on prefixes tells. Ranks are made inside groups
+    of the first `width` signs, whose sizes alone are summed in one task.
+    """
+    p = patterns.select(P.canonical(F.col("pattern")).alias("pattern")).distinct()
+    cut = F.filter(F.transform(P.prefixes(F.col("pattern")), lambda x: F.when(F.substr("pattern", F.length(x) + 1, F.lit(1)).isin("%", "_") & ~x.rlike("[%_]$"), x)), lambda x: x.isNotNull())
+    heads = p.select(F.explode(cut).alias("pattern")).distinct().withColumn("_on", F.lit(True))
+    x = p.withColumn("_key", P.sort_key(F.col("pattern"))).withColumn("_head", F.slice("_key", 1, width))
+    sizes = x.groupBy("_head").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_head", F.coalesce(F.sum("_n").over(W.orderBy("_head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    x = x.withColumn("_own", F.row_number().over(W.partitionBy("_head").orderBy("_key")) - 1).join(sizes, "_head")
+    return x.join(heads, "pattern", "left").select("pattern", (F.col("_ahead") + F.col("_own")).cast("long").alias("nth"), F.coalesce("_on", F.lit(False)).alias("shares"))
+
+
+def hash_ranks(records: DataFrame, a: int, b: int, prime: int = 2**31 - 1) -> DataFrame:
+    """rid, rank: the place of (rid * a + b) mod prime among all records, from 0, without one task for all. records: rid (different ones)."""
+    x = records.select("rid", F.pmod(F.col("rid") * a + b, F.lit(prime)).alias("_h")).withColumn("_b", F.floor(F.col("_h") / (prime / 4096)))
+    sizes = x.groupBy("_b").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return x.join(F.broadcast(sizes), "_b").select("rid", (F.col("_ahead") + F.row_number().over(W.partitionBy("_b").orderBy("_h", "rid")) - 1).cast("long").alias("rank"))
+
+
+def chain_products(chain: DataFrame, total: int) -> DataFrame:
+    """pattern, est: the product of a pattern's conditional ratios times all records; 0 once a ratio is 0. chain: pattern, ratio."""
+    p = F.when(F.min("ratio") <= 0, 0.0).otherwise(F.exp(F.sum(F.ln(F.greatest("ratio", F.lit(1e-300))))))
+    return chain.groupBy("pattern").agg((p * F.lit(float(total))).alias("est"))
+
+
+def packed_loss(x: DataFrame) -> DataFrame:
+    """n, loss: mean squared log error over the prefixes that count: within the pattern and not answered by the table. x: prefix_len, len, in_table, true, est."""
+    soft = lambda v: F.log1p(F.greatest(v.cast("double"), F.lit(1e-7)))
+    on = x.where((F.col("prefix_len") <= F.col("len")) & ~F.col("in_table"))
+    return on.agg(F.count("*").alias("n"), F.avg(F.pow(soft(F.col("est")) - soft(F.col("true")), 2)).alias("loss"))
+
+
+def chain_loss(x: DataFrame) -> DataFrame:
+    """n, loss: mean binary cross-entropy of conditional probabilities where the mask is 1. x: p, target, mask."""
+    on = x.where("mask = 1")
+    return on.agg(F.count("*").alias("n"), F.avg(S.cross_entropy(F.col("p"), F.col("target"))).alias("loss"))
+
+
+def typed_parts(patterns: DataFrame) -> DataFrame:
+    """pattern, i, part, kind: the parts between `%` with the kind of embedding that reads them: the first one of a prefix pattern, the last one of a suffix pattern, all others substrings (those of exact patterns too)."""
+    q = P.canonical(F.col("pattern"), True)
+    left, right = q.startswith("%"), q.endswith("%")
+    x = patterns.select("pattern").distinct().select("pattern", left.alias("l"), right.alias("r"), F.filter(F.split(q, "%+"), lambda t: t != "").alias("ps"))
+    x = x.select("pattern", "l", "r", F.size("ps").alias("k"), F.posexplode("ps").alias("i", "part"))
+    kind = F.when(~F.col("l") & F.col("r") & (F.col("i") == 0), "prefix").when(F.col("l") & ~F.col("r") & (F.col("i") == F.col("k") - 1), "suffix").otherwise("substring")
+    return x.select("pattern", "i", "part", kind.alias("kind"))
+
+
+def readable_only(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Patterns whose characters are all in the vocabulary (ch); wildcards always are."""
+    ch = patterns.select("pattern").distinct().select("pattern", F.explode(F.array_distinct(F.filter(F.split("pattern", ""), lambda x: ~x.isin("", "%", "_")))).alias("ch"))
+    odd = ch.join(vocabulary.select("ch"), "ch", "left_anti").select("pattern").distinct()
+    return patterns.join(odd, "pattern", "left_anti")
+
+
 def vocabulary(strings: DataFrame, most: int = 200) -> DataFrame:
     """ch, idx: the `most` most frequent characters (ties by code point); the cap is the feature, all others are one unknown sign."""
     return S.char_stats(strings).where(F.col("idx") < most).select("ch", "idx")
@@ -99,3 +162,9 @@ def log_scaled(x: DataFrame, column: str) -> DataFrame:
     y = x.crossJoin(F.broadcast(ends))
     scaled = F.coalesce(F.try_divide(v - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
     return y.withColumn("scaled", F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled))).drop("_low", "_high")
+
+
+def unscaled(scaled: Column, low: float, high: float) -> Column:
+    """The count that a scaled logarithm stands for; low and high are the logarithms of the least and the greatest count."""
+    s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled))
+    return F.exp(s * (high - low) + low)

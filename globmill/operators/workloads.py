@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import words as X
-
-#: Shapes up to which they are broadcast; checked.
-SHAPES = 1000
-
+from . import statistics as S
 
 def draw(purpose: str, *of: Column) -> Column:
     """32 bits as 8 hexadecimal digits."""
@@ -121,7 +118,12 @@ def _blurred(token: Column, most: int, *of: Column) -> Column:
 
 
 def general(strings: DataFrame, tokens: int = 2, under: int = 2, shortest: int = 2, longest: int = 5) -> DataFrame:
-    """For each string and each number of tokens one drawn pattern: half of them substrings, a quarter prefixes, a quarter suffixes, with underscores."""
+    """pattern: the drawn patterns of general_kinds()."""
+    return general_kinds(strings, tokens, under, shortest, longest).select("pattern").distinct()
+
+
+def general_kinds(strings: DataFrame, tokens: int = 2, under: int = 2, shortest: int = 2, longest: int = 5) -> DataFrame:
+    """kind, n, pattern. For each string and each number of tokens one drawn pattern: half of them substrings, a quarter prefixes, a quarter suffixes, with underscores."""
     s, p = F.col("s"), F.lit("%")
     x = data_strings(strings).withColumn("ws", X.edge_words(s)).where(F.size("ws") > 0)
     x = x.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(tokens)))).withColumn("h", draw("kind", s, F.col("n")))
@@ -140,7 +142,62 @@ def general(strings: DataFrame, tokens: int = 2, under: int = 2, shortest: int =
     x = x.select("kind", "n", _once(P.canonical(q, True)).alias("q"))
     left, right = F.col("q").startswith("%"), F.col("q").endswith("%")
     x = x.where((left | (F.col("kind") == "PREFIX")) & (right | (F.col("kind") == "SUFFIX")) & (F.size(F.filter(F.split("q", "%"), lambda t: t != "")) == F.col("n")))
-    return x.select(P.canonical(F.col("q")).alias("pattern")).distinct()
+    return x.select("kind", "n", P.canonical(F.col("q")).alias("pattern")).distinct()
+
+
+def with_tokens(candidates: DataFrame, m: int, *others: DataFrame) -> DataFrame:
+    """Candidates of exactly m tokens that are in none of the others."""
+    return without(candidates.where(F.size(P.tokens(F.col("pattern"))) == m), *others)
+
+
+def uniform(candidates: DataFrame, distinct: int, share: float = 0.1, least: int = 500) -> DataFrame:
+    """kind, n, pattern, split: as many patterns of each kind and number of tokens, dealt to test, valid and train.
+
+    train has share * max(distinct, least) patterns of each group and valid and test a tenth of that; a group with fewer
+    candidates has all three shrunk alike. candidates: kind, n, pattern (different ones). Drawn by md5, ranked in buckets.
+    """
+    n = max(distinct, least)
+    train, rest = int(share * n), int(share / 10 * n)
+    total = train + 2 * rest
+    x = S.shuffled_rank(candidates, "pattern", by=["kind", "n"])
+    cut = lambda k: F.when(F.col("total") >= total, F.lit(k)).otherwise(F.floor(F.lit(k) * F.col("total") / max(1, total)))
+    x = x.withColumn("_test", cut(rest)).withColumn("_train", cut(train))
+    r = F.col("rank")
+    part = F.when(r < F.col("_test"), "test").when(r < 2 * F.col("_test"), "valid").when(r < 2 * F.col("_test") + F.col("_train"), "train")
+    return x.select("kind", "n", "pattern", part.alias("split")).where("split is not null")
+
+
+def clipped(x: DataFrame, column: str, share: float) -> DataFrame:
+    """A share of the rows of each length, one at least: the first by md5. Rows are different in the column."""
+    ranked = S.shuffled_rank(x.withColumn("_len", F.length(column)), column, by=["_len"])
+    keep = F.floor(F.greatest(F.lit(share), F.lit(1.0) / F.col("total")) * F.col("total") + 1e-9)
+    return ranked.where(F.col("rank") < keep).select(*x.columns)
+
+
+def in_steps(patterns: DataFrame, train: bool = True) -> DataFrame:
+    """pattern, step: a curriculum. Step 1 has the patterns of one part and the first part of longer ones, step 2 the longer ones (and, unless train, the others again)."""
+    bare = F.filter(F.split(F.regexp_replace("pattern", "^%+|%+$", ""), "%+"), lambda x: x != "")
+    x = patterns.select("pattern").distinct().withColumn("parts", bare)
+    one = F.when(F.size("parts") <= 1, F.col("pattern")).otherwise(_wrap(F.get("parts", F.lit(0))))
+    first = x.select(one.alias("pattern"), F.lit(1).alias("step"))
+    second = (x.where(F.size("parts") > 1) if train else x).select("pattern", F.lit(2).alias("step"))
+    return first.unionAll(second).distinct()
+
+
+def split_union(strings: DataFrame, most: int = 4) -> DataFrame:
+    """kind, pattern, card: the labelled prefix, suffix and substring patterns of all words as one workload."""
+    from . import counting as C
+
+    out = None
+    for kind in ("prefix", "suffix", "substring"):
+        x = C.typed(strings, of_words(strings, kind, most)).select(F.lit(kind).alias("kind"), "pattern", "card")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def valid_instances(labelled: DataFrame, most: int, seed: str = "0") -> DataFrame:
+    """At most `most` labelled patterns with matches, drawn by md5."""
+    return S.shuffled_rank(labelled.where("card > 0"), "pattern", seed).where(F.col("rank") < most).select(*labelled.columns)
 
 
 def random_wildcards(strings: DataFrame, seed: str = "0") -> DataFrame:
@@ -159,8 +216,9 @@ def by_shape(strings: DataFrame, shapes: DataFrame) -> DataFrame:
     Tokens at an anchored edge are the string's own start or end; the others are drawn words of at least `low` characters.
     """
     sh = F.col("shape")
-    small = shapes.limit(SHAPES + 1).count() <= SHAPES
-    x = data_strings(strings).crossJoin(F.broadcast(shapes) if small else shapes)
+    # the shapes' table, however long, is one row that goes along with each string: shapes are a report's rows
+    listed = shapes.agg(F.array_sort(F.collect_list(F.struct("shape", "low", "high"))).alias("_shapes"))
+    x = data_strings(strings).crossJoin(F.broadcast(listed)).select("s", F.explode("_shapes").alias("x")).select("s", "x.*")
     left, right = sh.startswith("w").cast("int"), sh.endswith("w").cast("int")
     ws = F.filter(F.split("s", r"\s+"), lambda w: F.length(w) >= F.col("low"))
     x = x.withColumn("ws", ws).withColumn("m", F.length(F.regexp_replace("shape", "[^w]", ""))).withColumn("inner", F.col("m") - F.when(F.col("m") == 1, F.greatest(left, right)).otherwise(left + right))

@@ -18,7 +18,7 @@ from .streaming import grams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages", "benchmark", "conversations")
 
 
 def query(name: str, sql: str | None = None):
@@ -152,10 +152,21 @@ def pattern_lcp(spark, d):
     return R.neighbour_lcp(patterns(spark, d))
 
 
-@query("conditional_chain", None)
+_CHAIN = f"""WITH {_P}, {_S}, c AS (SELECT DISTINCT {_canon('pattern')} AS q FROM p),
+  x AS (SELECT q, unnest(range(1, length(q) + 1)) AS j FROM c),
+  y AS (SELECT q, j, substr(q, j, 1) AS ch, regexp_replace(left(q, j - 1), '[%_]+$', '') AS done, regexp_extract(left(q, j - 1), '([%_]*)$', 1) AS gap FROM x WHERE substr(q, j, 1) NOT IN ('%', '_')),
+  z AS (SELECT q, j, 0 AS b, done || '%' || ch || '%' AS step FROM y UNION ALL SELECT q, j, 1, done || gap || ch || '%' FROM y WHERE gap <> '%'
+    UNION ALL SELECT q, length(q) + 1, 0, q FROM c WHERE regexp_extract(q, '([%_]*)$', 1) <> '%'),
+  o AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY j, b) - 1 AS i, step FROM z),
+  k AS (SELECT step, coalesce(sum(w), 0)::BIGINT AS card FROM (SELECT DISTINCT step FROM o) LEFT JOIN s ON s LIKE step GROUP BY 1),
+  u AS (SELECT q, i, o.step, card, coalesce(lag(card) OVER (PARTITION BY q ORDER BY i), (SELECT sum(w) FROM s)) AS up FROM o JOIN k ON o.step = k.step),
+  ch AS (SELECT q AS pattern, i::INT AS i, step, card, CASE WHEN up = 0 THEN 0.0 ELSE round(card / up::DOUBLE, 9) END AS ratio FROM u)"""
+
+
+@query("conditional_chain", _CHAIN + " SELECT * FROM ch")
 def conditional_chain(spark, d):
-    """Ratios of the counts along each pattern's chain of steps."""
-    x = patterns(spark, d).select(P.canonical(F.col("pattern")).alias("pattern")).distinct().where(F.size(P.tokens(F.col("pattern"))) > 0)
+    """Ratios of the counts along each pattern's chain of steps. `%` alone has no step; a pattern of other wildcards alone has itself."""
+    x = patterns(spark, d).select(P.canonical(F.col("pattern")).alias("pattern")).distinct()
     steps = x.select("pattern", F.posexplode(P.conditional_steps(F.col("pattern"))).alias("i", "step"))
     cards = C.typed(strings(spark, d), steps.select(F.col("step").alias("pattern"))).withColumnRenamed("pattern", "step")
     n = strings(spark, d).agg(F.sum("w").alias("n"))
@@ -163,6 +174,20 @@ def conditional_chain(spark, d):
     return y.select("pattern", "i", "step", "card", F.when(F.col("up") == 0, 0.0).otherwise(F.round(F.col("card") / F.nullif("up", F.lit(0)), 9)).alias("ratio"))
 
 
+@query("chain_products", _CHAIN + " SELECT pattern, round(CASE WHEN min(ratio) <= 0 THEN 0 ELSE exp(sum(ln(greatest(ratio, 1e-300)))) END * (SELECT sum(w) FROM s), 4) AS est FROM ch GROUP BY 1")
+def chain_products(spark, d):
+    n = strings(spark, d).agg(F.sum("w")).first()[0]
+    return R.chain_products(conditional_chain(spark, d), n).withColumn("est", F.round("est", 4))
+
+
+@query("chain_loss", _CHAIN + ", l AS (SELECT ratio AS target, least(1 - 1e-7, greatest(1e-7, (card + 1) / ((SELECT sum(w) FROM s) + 2)::DOUBLE)) AS p FROM ch WHERE i < 6) SELECT count(*)::BIGINT AS n, round(avg(-(target * ln(p) + (1 - target) * ln(1 - p))), 6) AS loss FROM l")
+def chain_loss(spark, d):
+    """The masked loss of a model that knows a step's share alone, over the first six steps."""
+    n = strings(spark, d).agg(F.sum("w")).first()[0]
+    x = conditional_chain(spark, d).select(((F.col("card") + 1) / F.lit(float(n + 2))).alias("p"), F.col("ratio").alias("target"), (F.col("i") < 6).cast("int").alias("mask"))
+    return R.chain_loss(x).withColumn("loss", F.round("loss", 6))
+
+
 # --- predicates ----------------------------------------------------------------------------------------------------
 
 
@@ -216,9 +241,11 @@ def _position_join(spark, d, op):
 
 # --- statistics ----------------------------------------------------------------------------------------------------
 
+#: Longest grams of the n-gram tables.
+GRAMS = 5
 _NGRAM = f"""
 WITH {_S}, g AS (
-  SELECT s, w, n, i, substr(s, i, n) AS g FROM (SELECT s, w, n, unnest(range(1, length(s) - n + 2)) AS i FROM (SELECT s, w, unnest(range(1, least(2, length(s)) + 1)) AS n FROM s))),
+  SELECT s, w, n, i, substr(s, i, n) AS g FROM (SELECT s, w, n, unnest(range(1, length(s) - n + 2)) AS i FROM (SELECT s, w, unnest(range(1, least({GRAMS}, length(s)) + 1)) AS n FROM s))),
 m AS (SELECT s, w, n, i, g, unnest(range(0, 1 << n::INT)) AS m FROM g),
 k AS (SELECT s, w, n, i, array_to_string(list_transform(range(1, n + 1), lambda j: CASE WHEN (m >> (j - 1)::INT) % 2 = 1 THEN '{S.ANY}' ELSE substr(g, j, 1) END), '') AS x FROM m),
 a AS (
@@ -229,12 +256,12 @@ t AS (SELECT gram, sum(w)::BIGINT AS cnt FROM a GROUP BY 1)"""
 
 @query("ngram_table", _NGRAM + " SELECT gram, cnt FROM t")
 def ngram_table(spark, d):
-    return S.ngram_table(strings(spark, d), 2)
+    return S.ngram_table(strings(spark, d), GRAMS)
 
 
 @query("ngram_pruned_pt", _NGRAM + " SELECT gram, cnt FROM t WHERE cnt >= 20")
 def ngram_pruned_pt(spark, d):
-    return S.ngram_table(strings(spark, d), 2).where("cnt >= 20")
+    return S.ngram_table(strings(spark, d), GRAMS).where("cnt >= 20")
 
 
 @query("ngram_pruned_top", _NGRAM + f""", l AS (SELECT gram, cnt, length(translate(gram, '{S.START}{S.END}', '')) AS glen FROM t),
@@ -243,19 +270,57 @@ def ngram_pruned_pt(spark, d):
   c AS (SELECT glen, coalesce(max(cnt) FILTER (rk = most) + 1, 1) AS pt FROM r, e GROUP BY 1)
   SELECT gram, l.glen::INT AS glen, cnt, pt::BIGINT AS pt FROM l JOIN c ON l.glen = c.glen WHERE cnt >= pt""")
 def ngram_pruned_top(spark, d):
-    return S.prune_top(S.ngram_table(strings(spark, d), 2), 0.4).select("gram", "glen", "cnt", F.col("pt").cast("long").alias("pt"))
+    return S.prune_top(S.ngram_table(strings(spark, d), GRAMS), 0.4).select("gram", "glen", "cnt", F.col("pt").cast("long").alias("pt"))
+
+
+def _bound_sql(of: str = "p", least: str = "1", given: str = "0") -> str:
+    """Steps that end in bd(pattern, bound) for the patterns of a table: the least count over the sub-grams of their parts. least: the shortest sub-grams; given: what an absent one counts."""
+    return f"""
+  bf AS (SELECT DISTINCT pattern, replace({_canon('pattern', True)}, '_', '{S.ANY}') AS q FROM {of}),
+  bp AS (SELECT pattern, NOT starts_with(q, '%') AS l, NOT ends_with(q, '%') AS r, regexp_split_to_array(regexp_replace(q, '^%+|%+$', '', 'g'), '%+') AS bs FROM bf),
+  bo AS (SELECT pattern, l, r, len(bs) AS k, unnest(bs) AS b, unnest(range(1, len(bs) + 1)) AS i FROM bp),
+  bu AS (SELECT *, unnest(range({least}, least({GRAMS}, length(b)) + 1)) AS n FROM bo WHERE b <> ''),
+  bv AS (SELECT *, unnest(range(1, length(b) - n + 2)) AS a FROM bu),
+  bg AS (SELECT DISTINCT pattern, n, CASE WHEN l AND i = 1 AND a = 1 THEN '{S.START}' ELSE '' END || substr(b, a, n) || CASE WHEN r AND i = k AND a = length(b) - n + 1 THEN '{S.END}' ELSE '' END AS gram FROM bv),
+  bl AS (SELECT pattern, min(coalesce(cnt, {given})) AS low FROM bg LEFT JOIN t ON bg.gram = t.gram GROUP BY 1),
+  bd AS (SELECT bf.pattern, least(coalesce(low, n_all), n_all)::BIGINT AS bound FROM bf LEFT JOIN bl ON bf.pattern = bl.pattern, (SELECT cnt AS n_all FROM t WHERE gram = '') AS z),
+  cd AS (SELECT {of}.pattern, coalesce(sum(w), 0)::BIGINT AS card FROM {of} LEFT JOIN s ON s LIKE {of}.pattern GROUP BY 1)"""
+
 
+_BOUND = f"{_NGRAM}, {_P}, {_bound_sql()}"
 
-@query("ngram_bound", None)
+
+@query("ngram_bound", _BOUND + " SELECT bd.pattern, bound, card, bound >= card AS ok FROM bd JOIN cd ON bd.pattern = cd.pattern")
 def ngram_bound(spark, d):
     """Bounds beside the counts: ok says that the bound holds."""
-    x = S.upper_bound(S.ngram_table(strings(spark, d), 2), patterns(spark, d), 2, 1)
+    x = S.upper_bound(S.ngram_table(strings(spark, d), GRAMS), patterns(spark, d), GRAMS, 1)
     return x.join(C.naive(strings(spark, d), patterns(spark, d)), "pattern").withColumn("ok", F.col("bound") >= F.col("card"))
 
 
-@query("bound_holds", f"WITH {_P} SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS n_ok FROM p")
+@query("bound_holds", _BOUND + " SELECT count(*)::BIGINT AS n, count(*) FILTER (bound >= card)::BIGINT AS n_ok, sum(bound)::BIGINT AS bounds FROM bd JOIN cd ON bd.pattern = cd.pattern")
 def bound_holds(spark, d):
-    return ngram_bound(spark, d).agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
+    return ngram_bound(spark, d).agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.sum("bound").alias("bounds"))
+
+
+#: Least counts by length of a gram.
+THRESHOLDS = {1: 1, 2: 5, 3: 10, 4: 20, 5: 40}
+_LEAST = "CASE n " + " ".join(f"WHEN {k} THEN {v}" for k, v in THRESHOLDS.items()) + " END"
+
+
+@query("bound_by_length", f"{_NGRAM.replace('t AS (SELECT gram, sum(w)::BIGINT AS cnt FROM a GROUP BY 1)', '')} t0 AS (SELECT gram, sum(w)::BIGINT AS cnt, length(translate(gram, '{S.START}{S.END}', '')) AS n FROM a GROUP BY 1), t AS (SELECT gram, cnt FROM t0 WHERE n = 0 OR cnt >= {_LEAST}), {_P}, {_bound_sql(given=_LEAST + ' - 1')} SELECT bd.pattern, bound, bound >= card AS ok FROM bd JOIN cd ON bd.pattern = cd.pattern")
+def bound_by_length(spark, d):
+    """Bounds from a table with a least count for each length of a gram."""
+    t = S.ngram_table(strings(spark, d), GRAMS).withColumn("n", S.gram_length(F.col("gram")))
+    least = F.element_at(F.create_map(*[F.lit(x) for kv in THRESHOLDS.items() for x in kv]), F.col("n"))
+    t = t.where((F.col("n") == 0) | (F.col("cnt") >= least)).select("gram", "cnt")
+    x = S.upper_bound(t, patterns(spark, d), GRAMS, THRESHOLDS)
+    return x.join(C.naive(strings(spark, d), patterns(spark, d)), "pattern").select("pattern", "bound", (F.col("bound") >= F.col("card")).alias("ok"))
+
+
+@query("bound_prefixes", f"{_NGRAM}, {_P}, px AS (SELECT pattern AS whole, {_canon('pattern', True)} AS q FROM p), py AS (SELECT whole, q, unnest(range(1, length(q) + 1)) AS i FROM px), pz AS (SELECT whole, i, left(q, i) AS prefix FROM py), o AS (SELECT DISTINCT prefix AS pattern FROM pz), {_bound_sql('o')}, h AS (SELECT pattern, regexp_replace(regexp_replace({_canon('pattern', True)}, '^%+', ''), '%+$', '') AS core FROM o), it AS (SELECT pattern, (length(core) BETWEEN 1 AND {GRAMS} AND NOT contains(core, '%') AND (SELECT count(*) FROM s WHERE s LIKE h.pattern) > 0) AS in_table FROM h) SELECT whole AS pattern, i::INT AS prefix_len, prefix, bound, in_table FROM pz JOIN bd ON prefix = bd.pattern JOIN it ON prefix = it.pattern")
+def bound_prefixes(spark, d):
+    """The bound of every prefix, and whether the table answers it by itself."""
+    return S.prefix_bounds(S.ngram_table(strings(spark, d), GRAMS), patterns(spark, d), GRAMS, 1)
 
 
 for _way, _part in (("prefix", "left(s, n)"), ("suffix", "right(s, n)")):
@@ -304,7 +369,22 @@ def parity_score(spark, d):
     return E.parity(x).select(F.round("parity", 9).alias("parity"))
 
 
-@query("sample_est_m", None)
+@query("sample_est_plain", _EST + " SELECT e.pattern, k, k * n / 200.0::DOUBLE AS est FROM e, c")
+def sample_est_plain(spark, d):
+    part = read(spark, d, "part")
+    return S.est_plain(S.sample(part, "p_partkey", 200).select(F.col("p_name").alias("s")), patterns(spark, d), part.count(), 200)
+
+
+@query("qerror_percentiles", _EST + ", t AS (SELECT pattern, coalesce(sum(w), 0) AS c FROM p LEFT JOIN s ON s LIKE pattern GROUP BY 1), q AS (SELECT greatest(greatest(c, 1)::DOUBLE / greatest(est, 1), greatest(est, 1)::DOUBLE / greatest(c, 1)) AS q FROM e JOIN t USING (pattern)), l AS (SELECT quantile_cont(q, list_transform(range(1, 101), lambda i: i / 100)) AS qs FROM q) SELECT unnest(range(1, 101))::INT AS p, round(unnest(qs), 6) AS q FROM l")
+def qerror_percentiles(spark, d):
+    x = _estimates(spark, d).join(C.naive(strings(spark, d), patterns(spark, d)).withColumnRenamed("card", "true"), "pattern")
+    return S.q_error_percentiles(x).withColumn("q", F.round("q", 6))
+
+
+_LIKELY = "lgamma(size + 1) - lgamma(k + 1) - lgamma(size - k + 1) + lgamma(n - size + 1) - lgamma(200 - k + 1) - lgamma(n - size - 200 + k + 1) - (lgamma(n + 1) - lgamma(201) - lgamma(n - 199))"
+
+
+@query("sample_est_m", _EST + f", ks AS (SELECT DISTINCT k, n FROM e, c WHERE k > 0), z AS (SELECT k, n, unnest(range(k, n - 200 + k + 1)) AS size FROM ks), i AS (SELECT k, sqrt(greatest(min(size), 1) * max(size)) AS mid FROM z WHERE {_LIKELY} >= ln(1e-5) GROUP BY 1) SELECT pattern, e.k, CASE WHEN e.k = 0 THEN 0.5::DOUBLE ELSE mid END AS est FROM e LEFT JOIN i ON e.k = i.k")
 def sample_est_m(spark, d):
     return E.est_m(_estimates(spark, d), read(spark, d, "part").count(), 200)
 
@@ -318,17 +398,43 @@ def sample_est_b(spark, d):
     return E.est_b(sampled, patterns(spark, d), E.break_table(n, 2.0, m), n)
 
 
-@query("union_estimate", None)
+_UNION = """, q(pattern, gram) AS (VALUES ('%Sup%00%', 'Sup'), ('%Sup%00%', '00'), ('%0%1%', '0'), ('%0%1%', '1')),
+  j AS (SELECT q.pattern, m.* FROM q JOIN m ON q.gram = m.gram),
+  g AS (SELECT pattern, count(*) AS n_parts, max(cnt) AS largest, max({'c': cnt, 'h1': h1, 'h2': h2, 'h3': h3, 'h4': h4}) AS top, min(h1) AS h1, min(h2) AS h2, min(h3) AS h3, min(h4) AS h4 FROM j GROUP BY 1)
+  SELECT pattern, n_parts::BIGINT AS n_parts, largest, ((top.h1 = h1)::INT + (top.h2 = h2)::INT + (top.h3 = h3)::INT + (top.h4 = h4)::INT) / 4.0::DOUBLE AS similarity FROM g"""
+
+
+@query("union_estimate", f"WITH m AS ({SQL['minhash_signatures']}){_UNION}")
 def union_estimate(spark, d):
     parts = spark.createDataFrame([("%Sup%00%", "Sup"), ("%Sup%00%", "00"), ("%0%1%", "0"), ("%0%1%", "1")], "pattern string, gram string")
     return E.union_estimate(minhash_signatures(spark, d), parts, len(_A))
 
 
-@query("triplets", None)
+_TRANSITIONS = SQL["transition_probs"].replace("round(f / sum(f) OVER w * ", "(f / sum(f) OVER w * ").replace("END, 9) AS p", "END) AS p")
+
+
+@query("triplets", f"WITH tr AS ({_TRANSITIONS}), b AS (SELECT parent, max({{'p': p, 'child': child}}).child AS positive FROM tr GROUP BY 1), r AS (SELECT parent, positive, row_number() OVER (ORDER BY md5('0-' || parent), parent) - 1 AS k, count(*) OVER () AS n FROM b) SELECT x.parent AS anchor, x.positive, y.positive AS negative FROM r x JOIN r y ON (x.k + 1) % x.n = y.k WHERE x.n > 1")
 def triplets(spark, d):
     return E.triplets(S.transitions(strings(spark, d)))
 
 
+_STEPS = f"""WITH tr AS ({_TRANSITIONS}), kk AS (SELECT parent, count(*) AS k FROM tr GROUP BY 1),
+  one AS (SELECT parent AS node, child AS near, p FROM tr WHERE parent <> '' UNION ALL SELECT child, tr.parent, 1.0::DOUBLE / (coalesce(k, 0) + 1) FROM tr LEFT JOIN kk ON kk.parent = child WHERE tr.parent <> ''),
+  both_ AS (SELECT node, near, p FROM one UNION ALL SELECT a.node, b.near, a.p * b.p FROM one a JOIN one b ON a.near = b.node),
+  st AS (SELECT node, near, sum(p) AS p FROM both_ GROUP BY 1, 2)"""
+
+
+@query("triplet_steps", _STEPS + " SELECT node, near, round(p / sum(p) OVER (PARTITION BY node), 9) AS p FROM st")
+def triplet_steps(spark, d):
+    """Probabilities of walks of one and two steps in the prefix tree."""
+    return E.steps(S.transitions(strings(spark, d))).withColumn("p", F.round("p", 9))
+
+
+@query("triplets_drawn", None)
+def triplets_drawn(spark, d):
+    return E.drawn_triplets(S.transitions(strings(spark, d)))
+
+
 @query("iqr_mean", "WITH q AS (SELECT quantile_cont(p_retailprice::DOUBLE, 0.25) AS a, quantile_cont(p_retailprice::DOUBLE, 0.75) AS b FROM part) SELECT round(avg(p_retailprice::DOUBLE), 6) AS iqr_mean, count(*)::BIGINT AS n FROM part, q WHERE p_retailprice BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)")
 def iqr_mean(spark, d):
     return S.iqr_mean(read(spark, d, "part"), "p_retailprice").select(F.round("iqr_mean", 6).alias("iqr_mean"), "n")
@@ -350,15 +456,16 @@ def two_word_patterns(spark, d):
 _SMALL = f"""f AS (SELECT pattern, {_canon('pattern', True)} AS c FROM p), h AS (SELECT pattern, c, regexp_replace(regexp_replace(c, '^%+', ''), '%+$', '') AS core FROM f)"""
 
 
-@query("ngram_exact_hits", _NGRAM + f", {_P}, {_SMALL} SELECT pattern, CASE WHEN length(core) BETWEEN 1 AND 2 AND NOT contains(core, '%') THEN (SELECT sum(w) FROM s WHERE s LIKE pattern)::BIGINT END AS cnt FROM h")
+@query("ngram_exact_hits", _NGRAM + f", {_P}, {_SMALL} SELECT pattern, CASE WHEN length(core) BETWEEN 1 AND {GRAMS} AND NOT contains(core, '%') THEN (SELECT sum(w) FROM s WHERE s LIKE pattern)::BIGINT END AS cnt FROM h")
 def ngram_exact_hits(spark, d):
     """Patterns that the n-gram table answers exactly; SQL counts them."""
-    return R.exact_hits(S.ngram_table(strings(spark, d), 2), patterns(spark, d), 2)
+    return R.exact_hits(S.ngram_table(strings(spark, d), GRAMS), patterns(spark, d), GRAMS)
 
 
-@query("bound_report", None)
+@query("bound_report", _BOUND + ", r AS (SELECT bound, card, CASE WHEN card > 0 THEN bound / card::DOUBLE END AS ratio FROM bd JOIN cd ON bd.pattern = cd.pattern) SELECT round(avg(ratio), 6) AS avg_ratio, round(stddev_pop(ratio), 6) AS std_ratio, round(max(ratio), 6) AS max_ratio, count(*) FILTER (bound < card) = 0 AS holds FROM r")
 def bound_report(spark, d):
-    return R.bound_report(S.upper_bound(S.ngram_table(strings(spark, d), 2), patterns(spark, d), 2, 1), C.naive(strings(spark, d), patterns(spark, d)))
+    x = R.bound_report(S.upper_bound(S.ngram_table(strings(spark, d), GRAMS), patterns(spark, d), GRAMS, 1), C.naive(strings(spark, d), patterns(spark, d)))
+    return x.select(*[F.round(k, 6).alias(k) for k in ("avg_ratio", "std_ratio", "max_ratio")], "holds")
 
 
 @query("negated_estimates", _EST + ", u AS (SELECT count(*) AS n, count(*) - count(p_name) AS nulls FROM part) SELECT pattern, est, greatest(0, n - nulls - est) AS est_not_like, greatest(0, n - est) AS est_not_equal FROM e, u")
@@ -408,9 +515,9 @@ def shape_lengths(spark, d):
     return x.groupBy("shape").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("lens")), ";").alias("lengths"))
 
 
-@query("char_vocabulary", f"WITH {_S}, x AS (SELECT w, unnest(string_split(s, '')) AS ch FROM s) SELECT ch, (row_number() OVER (ORDER BY sum(w) DESC, ch) - 1)::INT AS idx FROM x GROUP BY 1 QUALIFY idx < 12")
+@query("char_vocabulary", f"WITH {_S}, x AS (SELECT w, unnest(string_split(s, '')) AS ch FROM s) SELECT ch, (row_number() OVER (ORDER BY sum(w) DESC, ch) - 1)::INT AS idx FROM x GROUP BY 1 QUALIFY idx < 200")
 def char_vocabulary(spark, d):
-    return R.vocabulary(strings(spark, d), 12)
+    return R.vocabulary(strings(spark, d))
 
 
 @query("log_scaled_cards", f"WITH {_P}, {_S}, c AS (SELECT pattern, coalesce(sum(w), 0)::BIGINT AS card FROM p LEFT JOIN s ON s LIKE pattern GROUP BY 1), m AS (SELECT ln(greatest(min(card), 1)::DOUBLE) AS a, ln(greatest(max(card), 1)::DOUBLE) AS b FROM c) SELECT pattern, card, round(coalesce((ln(greatest(card, 1)::DOUBLE) - a) / nullif(b - a, 0), 0), 9) AS scaled FROM c, m")
@@ -436,7 +543,8 @@ JOINS = {
     "join_chain_between": "SELECT r_name, count(*) AS n, min(o_orderdate) AS first_date FROM region, nation, customer, orders WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey AND o_orderdate BETWEEN timestamp '1994-01-01 00:00:00' AND timestamp '1996-12-31 00:00:00' GROUP BY r_name",
     "join_or_null": "SELECT count(*) AS n FROM part, lineitem WHERE p_partkey = l_partkey AND (p_name LIKE 'red%' OR p_name LIKE '%gear' OR p_name IS NULL) AND l_returnflag <> 'N'",
     "join_self_alias": "SELECT count(*) AS n FROM nation n1, nation n2, region r WHERE n1.n_regionkey = r.r_regionkey AND n2.n_regionkey = r.r_regionkey AND n1.n_name < n2.n_name AND n1.n_name LIKE '%I%'",
-    "join_hub": "SELECT count(*) AS n FROM orders o, customer hub, documents d WHERE o.o_custkey = hub.c_custkey AND d.doc_id = hub.c_custkey AND d.text LIKE '%the%'",
+    "join_hub": sqltext.hub("SELECT count(*) AS n FROM orders o, documents d WHERE o.o_custkey = d.doc_id AND d.text LIKE '%the%' AND o.o_orderpriority LIKE '1%'", "customer", "c_custkey"),
+    "join_wide": "SELECT count(*) AS n, min(p.p_name) AS name, max(c2.c_name) AS customer FROM lineitem l, orders o, customer c, nation n1, region r1, supplier s, nation n2, region r2, part p, nation n3, region r3, nation n4, region r4, customer c2, orders o2, supplier s2, part p2 WHERE l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_nationkey = n1.n_nationkey AND n1.n_regionkey = r1.r_regionkey AND l.l_suppkey = s.s_suppkey AND s.s_nationkey = n2.n_nationkey AND n2.n_regionkey = r2.r_regionkey AND l.l_partkey = p.p_partkey AND n3.n_nationkey = n1.n_nationkey AND n3.n_regionkey = r3.r_regionkey AND n4.n_nationkey = n2.n_nationkey AND n4.n_regionkey = r4.r_regionkey AND c2.c_custkey = c.c_custkey AND o2.o_orderkey = o.o_orderkey AND s2.s_suppkey = s.s_suppkey AND p2.p_partkey = p.p_partkey AND p2.p_name LIKE '%b%' AND r3.r_name LIKE 'A%' AND n4.n_name NOT LIKE '%Z%' AND o2.o_orderpriority LIKE '%H%' AND c2.c_mktsegment IN ('BUILDING', 'MACHINERY')",
     "join_semi_anti": "SELECT (SELECT count(*) FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS n_semi, (SELECT count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS n_anti",
     "label_lookup": "SELECT toxic, quality, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text LIKE '%e%' GROUP BY toxic, quality",
     "line_view": "SELECT count(*) AS n, CAST(sum(CASE WHEN url LIKE 'http%' THEN 1 ELSE 0 END) AS BIGINT) AS n_http FROM pages",

@@ -13,7 +13,7 @@ from .operators import lbs
 from .operators import statistics as S
 from .operators import workloads as W
 from .plans import features
-from .queries import _A, _B, _EST, _P, _S, _TOK, _canon, _estimates, _project, patterns, query, read, strings, token_sentences, views
+from .queries import GRAMS, _A, _B, _EST, _NGRAM, _P, _S, _TOK, _bound_sql, _canon, _estimates, _project, patterns, query, read, strings, token_sentences, views
 
 _WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(p_name, '\\S+')) AS word FROM part)"
 _GRAMS = "g AS (SELECT word, i, n, substr(word, i, n) AS g FROM (SELECT word, i, unnest(range(1, length(word) - i + 2)) AS n FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)))"
@@ -117,16 +117,9 @@ def table_aliases(spark, d):
     return read(spark, d, "events").select("event_type", X.alias(F.col("event_type")).alias("alias")).distinct()
 
 
-@query("edge_words", "SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::INT AS n FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7f]') AND NOT regexp_matches(text, '\\x0b')")
+@query("edge_words", r"SELECT doc_id, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), (coalesce(text, '') <> '')::INT)::INT AS n FROM documents")
 def edge_words(spark, d):
-    """Words of ASCII texts; space at the edges belongs to them."""
-    t = F.col("text")
-    return read(spark, d, "documents").where(t.isNotNull() & ~t.rlike(r"[^\x00-\x7f]") & ~t.rlike(r"\x0b")).select("doc_id", F.size(X.edge_words(t)).alias("n"))
-
-
-@query("edge_words_all", None)
-def edge_words_all(spark, d):
-    """Words of all texts; a null text counts as empty. No SQL: the engines' white space differs beyond that of `edge_words`."""
+    """Words of all texts (null counts as empty); space at the edges belongs to them."""
     return read(spark, d, "documents").select("doc_id", F.size(X.edge_words(F.coalesce("text", F.lit("")))).alias("n"))
 
 
@@ -143,11 +136,11 @@ def plan_features(spark, d):
 @query("hybrid_estimates", None)
 def hybrid_estimates(spark, d):
     """Learned from the patterns of the train split, applied to all; table hits are exact."""
-    s, p, t = strings(spark, d), patterns(spark, d), S.ngram_table(strings(spark, d), 2)
-    bounds = S.upper_bound(t, p, 2, 1)
+    s, p, t = strings(spark, d), patterns(spark, d), S.ngram_table(strings(spark, d), GRAMS)
+    bounds = S.upper_bound(t, p, GRAMS, 1)
     cards = C.naive(s, p)
     known = cards.join(S.shuffled_rank(p, "pattern").where(F.col("rank") < F.floor(F.col("total") * 0.8)).select("pattern"), "pattern")
-    return H.estimate(H.fit(bounds, known), bounds, t, 2).join(cards.withColumnRenamed("card", "true"), "pattern")
+    return H.estimate(H.fit(bounds, known), bounds, t, GRAMS).join(cards.withColumnRenamed("card", "true"), "pattern")
 
 
 @query("qerror_by_length", _EST + ", t AS (SELECT pattern, coalesce(sum(w), 0) AS c FROM p LEFT JOIN s ON s LIKE pattern GROUP BY 1), q AS (SELECT pattern, greatest(greatest(c, 1)::DOUBLE / greatest(est, 1), greatest(est, 1)::DOUBLE / greatest(c, 1)) AS q FROM e JOIN t USING (pattern)) SELECT length(pattern)::INT AS len, length(regexp_replace(pattern, '[^%_]', '', 'g'))::INT AS n_wild, count(*)::BIGINT AS n, round(avg(q), 6) AS avg_q, round(max(q), 6) AS max_q FROM q GROUP BY 1, 2")
@@ -180,12 +173,12 @@ def lbs_estimates(spark, d):
     return lbs.estimate(patterns(spark, d), lbs.signatures(r, 3, _A, _B), r.count(), 3, len(_A))
 
 
-@query("bound_longest_grams", f"WITH {_P} SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS n_ok FROM p")
+@query("bound_longest_grams", f"{_NGRAM}, {_P}, {_bound_sql(least='least(' + str(GRAMS) + ', length(b))')} SELECT bd.pattern, bound, bound >= card AS ok FROM bd JOIN cd ON bd.pattern = cd.pattern")
 def bound_longest_grams(spark, d):
-    """Bounds from the longest sub-grams alone hold too, and aren't below those from all."""
-    t, p = S.ngram_table(strings(spark, d), 2), patterns(spark, d)
-    x = S.upper_bound(t, p, 2, 1, shorter=False).join(C.naive(strings(spark, d), p), "pattern")
-    return x.agg(F.count("*").alias("n"), F.count_if(F.col("bound") >= F.col("card")).alias("n_ok"))
+    """Bounds from the longest sub-grams alone."""
+    t, p = S.ngram_table(strings(spark, d), GRAMS), patterns(spark, d)
+    x = S.upper_bound(t, p, GRAMS, 1, shorter=False).join(C.naive(strings(spark, d), p), "pattern")
+    return x.select("pattern", "bound", (F.col("bound") >= F.col("card")).alias("ok"))
 
 
 @query("char_fractions", f"WITH {_S}, n AS (SELECT sum(w) AS n FROM s), x AS (SELECT s, w, unnest(string_split(s, '')) AS ch FROM s), y AS (SELECT s, w, ch, count(*) AS k FROM x GROUP BY ALL) SELECT ch, round(sum(w) FILTER (left(s, 1) = ch) / any_value(n)::DOUBLE, 9) AS prefix, round(sum(w) / any_value(n)::DOUBLE, 9) AS substring, round(sum(w) FILTER (right(s, 1) = ch) / any_value(n)::DOUBLE, 9) AS suffix, round(sum(k * w) / any_value(n)::DOUBLE, 9) AS occurrence FROM y, n GROUP BY 1")

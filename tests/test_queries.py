@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from globmill import queries, workload_queries
+from globmill import engine_queries, queries, workload_queries
 from globmill.functions import language as L
 from globmill.functions import patterns as P
 from globmill.operators import counting as C
@@ -247,7 +247,7 @@ def test_edge_words_of_all_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for folder in (str(tmp_path), SF):
         rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
-        got = sorted(map(tuple, queries.QUERIES["edge_words_all"](spark, folder).collect()))
+        got = sorted(map(tuple, queries.QUERIES["edge_words"](spark, folder).collect()))
         plain = lambda t: len([w for w in t.translate(dict.fromkeys(range(9, 14), " ")).split(" ") if w])
         assert got == sorted((r["doc_id"], max(plain(r["text"] or ""), int(bool(r["text"])))) for r in rows)
 
