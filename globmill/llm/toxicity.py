@@ -32,7 +32,7 @@ from . import _common as c
 #: Bounds of the training sample: documents of each label, and their characters.
 SAMPLE, CHARS = 1500, 8_000_000
 #: Words of a window, words from one window's start to the next one's, and the same while training.
-WINDOW, STRIDE, STRIDE_TRAINING = 32, 2, 8
+WINDOW, STRIDE, STRIDE_TRAINING = 32, 4, 8
 DIM, HIDDEN, ATTENTION, BUCKETS = 12, 8, 8, 4096
 EPOCHS, BATCH, RATE, SEED = 6, 64, 8e-3, 7
 #: Distinct words whose inputs a Python worker keeps, and windows scored at once.
@@ -40,6 +40,9 @@ STORE, AT_ONCE = 100_000, 2048
 #: Windows and texts scored at once while training: the driver's memory is smaller than a worker's.
 AT_ONCE_TRAINING, TEXTS_TRAINING = 1024, 64
 
+#: Check sums of single bytes, of which zlib.crc32 is made up.
+_CRC = np.array([zlib.crc32(bytes([0xFF ^ i])) ^ 0xFF000000 for i in range(256)], np.uint32)
+
 words_of = re.compile(r"\w+").findall
 
 
@@ -80,10 +83,18 @@ class Network:
 
     @staticmethod
     def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Trigram buckets of words, one after another, and where each word's begin."""
-        lists = [grams(w) for w in words]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((b for x in lists for b in x), np.int64, int(size.sum())), np.r_[0, np.cumsum(size)]
+        """Trigram buckets of words, one after another, and where each word's begin: those of grams(), for all words at once."""
+        raw = [f"^{w}$".encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        x = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
+        c = np.full(max(0, len(x) - 2), 0xFFFFFFFF, np.uint32)
+        for k in range(3):
+            c = _CRC[(c ^ x[k : len(x) - 2 + k]) & np.uint32(0xFF)] ^ (c >> np.uint32(8))
+        ends = np.cumsum(size)
+        keep = np.ones(len(c), bool)
+        for back in (1, 2):
+            keep[(ends[:-1] - back)] = False  # windows that begin in a word's last two bytes
+        return ((c ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)).astype(np.int64)[keep], np.r_[0, np.cumsum(size - 2)]
 
     def inputs(self, ids: np.ndarray, buckets: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Vectors of distinct words."""
@@ -173,9 +184,12 @@ class Scorer:
     """Scores texts; keeps the projected inputs of the words seen."""
 
     def __init__(self, net: Network):
-        self.net, self.rows, self.table, self.parts = net, {}, np.zeros((1, 6 * HIDDEN), np.float32), []
+        self.net, self.rows, self.table = net, {}, np.zeros((1, 6 * HIDDEN), np.float32)
+        # a gate is 0.5 + 0.5 tanh(x / 2): the halves are in the parameters
         f = lambda k: np.ascontiguousarray(net.p[k].T, np.float32)
-        self.small = {k: f(k) for k in ("uf", "ub", "wa", "va", "wo")} | {k: f(k)[:, None] for k in ("cf", "cb", "ba")} | {"bo": np.float32(net.p["bo"][0])}
+        self.small = {k: 0.5 * f(k) for k in ("uf", "ub")} | {k: 0.5 * f(k)[:, None] for k in ("cf", "cb")}
+        self.small |= {k: f(k) for k in ("wa", "va", "wo")} | {"ba": f("ba")[:, None], "bo": np.float32(net.p["bo"][0])}
+        self.half = np.tile(np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)], 2)
 
     def _add(self, words: set[str]) -> None:
         if len(self.rows) > STORE:
@@ -183,84 +197,92 @@ class Scorer:
         if new := [w for w in words if w not in self.rows]:
             buckets, ends = self.net.spell(new)
             ids = np.fromiter((self.net.vocab.get(w, 0) for w in new), np.int64, len(new))
-            got = self.net.project(self.net.inputs(ids, buckets, ends)).astype(np.float32)
+            got = (self.net.project(self.net.inputs(ids, buckets, ends)) * self.half).astype(np.float32)
             self.rows.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate([self.table, got])
 
     def logits(self, texts: list[str | None]) -> list[np.ndarray]:
         """Logits of all windows of each text; none for a text without words."""
         tokens = [words_of(t.lower()) if t else [] for t in texts]
-        if len(self.rows) > STORE:
-            self.rows, self.table = {}, self.table[:1]
         self._add({w for x in tokens for w in x})
-        get, out = self.rows.__getitem__, []
-        held, size = [], 0
-
-        def flush() -> None:
-            nonlocal held, size
-            if held:
-                where = np.concatenate(held)
-                got = np.concatenate([self._windows(where[i : i + AT_ONCE]) for i in range(0, len(where), AT_ONCE)])
-                out.extend(np.split(got, np.cumsum([len(h) for h in held])[:-1]))
-            held, size = [], 0
-
-        for x in tokens:
-            ids = np.fromiter(map(get, x), np.int32, len(x))
-            if len(ids) < WINDOW:
-                ids = np.r_[ids, np.zeros(WINDOW - len(ids), np.int32)]
-            own = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[windows(len(x))]
-            # windows are scored in bounded lots, a long text's too
-            for part in np.split(own, range(AT_ONCE * 4, len(own), AT_ONCE * 4)):
-                held.append(part)
-                size += len(part)
-                if size >= AT_ONCE * 4:
-                    flush()
-            self.parts.append(-(-len(own) // (AT_ONCE * 4)))
-        flush()
-        joined, at = [], 0
-        for x, n in zip(tokens, self.parts, strict=True):
-            joined.append(np.concatenate(out[at : at + n]) if x else np.zeros(0, np.float32))
-            at += n
-        self.parts.clear()
-        return joined
+        get = self.rows.__getitem__
+        ids = [np.fromiter(map(get, x), np.int32, len(x)) for x in tokens]
+        # windows that begin on the grid of a text: all texts in a row, each from a place of the grid on
+        long = [k for k, x in enumerate(ids) if len(x) >= WINDOW]
+        room = np.array([-(-len(ids[k]) // STRIDE) * STRIDE for k in long], np.int64)
+        begin = np.r_[0, np.cumsum(room)]
+        row = np.zeros(int(begin[-1]), np.int32)
+        for k, at in zip(long, begin.tolist(), strict=False):
+            row[at : at + len(ids[k])] = ids[k]
+        grid = self._grid(row)
+        # the others: a text's last one, and the only one of a short text, filled up
+        odd = [k for k, x in enumerate(ids) if 0 < len(x) < WINDOW or len(x) > WINDOW and (len(x) - WINDOW) % STRIDE]
+        last = np.zeros((len(odd), WINDOW), np.int32)
+        for j, k in enumerate(odd):
+            part = ids[k][-WINDOW:]
+            last[j, : len(part)] = part
+        tail = dict(zip(odd, np.concatenate([np.zeros(0, np.float32), *(self._windows(last[i : i + AT_ONCE]) for i in range(0, len(odd), AT_ONCE))]), strict=True))
+        at = dict(zip(long, begin.tolist(), strict=False))
+        out = []
+        for k, x in enumerate(ids):
+            own = grid[at[k] // STRIDE : at[k] // STRIDE + (len(x) - WINDOW) // STRIDE + 1] if k in at else grid[:0]
+            out.append(np.append(own, tail[k]) if k in tail else own)
+        return out
+
+    def _grid(self, row: np.ndarray) -> np.ndarray:
+        """Logits of the windows at every STRIDE-th place of a row of word numbers (its length a multiple of STRIDE)."""
+        total = max(0, (len(row) - WINDOW) // STRIDE + 1)
+        out = [np.zeros(0, np.float32)]
+        for i in range(0, total, AT_ONCE):
+            n = min(AT_ONCE, total - i)
+            x = self.table[row[i * STRIDE : (i + n - 1) * STRIDE + WINDOW]].T
+            # a step's inputs are every STRIDE-th column: dealt by their phase they lie side by side
+            phase = [np.ascontiguousarray(x[:, k::STRIDE]) for k in range(STRIDE)]
+            out.append(self._run([phase[t % STRIDE][:, t // STRIDE : t // STRIDE + n] for t in range(WINDOW)], n))
+        return np.concatenate(out)
 
     def _windows(self, where: np.ndarray) -> np.ndarray:
-        """Logits of windows (rows of word numbers), with one window a column, so that a step's numbers lie side by side."""
-        h, n, table, p = HIDDEN, len(where), self.table, self.small
+        """Logits of windows given as rows of word numbers, 0 where a text is too short."""
         steps = np.ascontiguousarray(where.T)
-        padded = (steps == 0).any()
+        return self._run([np.ascontiguousarray(self.table[w].T) for w in steps], len(where), steps == 0 if (steps == 0).any() else None)
+
+    def _run(self, inputs: list[np.ndarray], n: int, blank: np.ndarray | None = None) -> np.ndarray:
+        """Logits of n windows, one window a column, so that a step's numbers lie side by side. inputs: a table (6 * HIDDEN, n) for each word of the windows, halved for the gates."""
+        h, p = HIDDEN, self.small
         states = np.empty((WINDOW, 2 * h, n), np.float32)
+        a, new, d = np.empty((3 * h, n), np.float32), np.empty((h, n), np.float32), np.empty((h, n), np.float32)
         for side, cut in (("f", 0), ("b", h)):
             state, u, b = np.zeros((h, n), np.float32), p[f"u{side}"], p[f"c{side}"]
             for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
-                x = table[steps[t], 3 * cut : 3 * cut + 3 * h].T
-                a = u @ state
+                x = inputs[t][3 * cut : 3 * cut + 3 * h]
+                np.matmul(u, state, out=a)
                 a += b
-                gate = a[: 2 * h] + x[: 2 * h]
-                gate *= np.float32(0.5)
-                np.tanh(gate, out=gate)
-                gate += np.float32(1)
-                gate *= np.float32(0.5)
-                new = gate[h:] * a[2 * h :]
+                gate = a[: 2 * h]
+                gate += x[: 2 * h]
+                np.tanh(gate, out=gate)  # twice a gate, less 1
+                np.multiply(gate[h:], a[2 * h :], out=new)
+                new += a[2 * h :]
                 new += x[2 * h :]
                 np.tanh(new, out=new)
                 state -= new
-                state *= gate[:h]
-                state += new
-                if padded:
+                np.multiply(state, gate[:h], out=d)
+                d += state
+                d *= np.float32(0.5)
+                np.add(new, d, out=state)
+                if blank is not None:
                     # padding stands behind a text's words: forwards the state stays, backwards it is still zero
-                    blank = steps[t] == 0
-                    state[:, blank] = states[t - 1, cut : cut + h][:, blank] if side == "f" and t else 0
+                    state[:, blank[t]] = states[t - 1, cut : cut + h][:, blank[t]] if side == "f" and t else 0
                 states[t, cut : cut + h] = state
-        e = np.tanh(p["wa"] @ states + p["ba"])
-        score = np.einsum("a,tan->tn", p["va"], e)
-        if padded:
-            score[steps == 0] = -1e9
+        e = np.matmul(p["wa"], states)
+        e += p["ba"]
+        np.tanh(e, out=e)
+        score = np.matmul(p["va"], e)
+        if blank is not None:
+            score[blank] = -1e9
         score -= score.max(0)
         np.exp(score, out=score)
         score /= score.sum(0)
-        each = np.einsum("h,thn->tn", p["wo"], states)
-        return (score * each).sum(0) + p["bo"]
+        return (score * np.matmul(p["wo"], states)).sum(0) + p["bo"]
 
     def scores(self, texts: list[str | None]) -> list[float]:
         a, b = self.net.scale
