@@ -13,7 +13,7 @@ from .operators import reports as R
 from .operators import statistics as S
 from .operators import workloads as W
 
-from .queries import _A, _B, _EST, _P, _S, _TRANSITIONS, SQL, _canon, _card_sql, _estimates, _project, patterns, query, read, strings, views
+from .queries import _A, _B, _BOUND, _P, _S, GRAMS, SQL, _canon, _card_sql, _project, patterns, query, read, strings, views
 from .sources import files
 
 
@@ -280,3 +280,22 @@ def column_tokens(spark, d):
     words = lambda c: F.transform(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), " "), lambda t: t != ""), lambda t: F.concat(F.lit(f"{c}_"), t))
     brand = F.when(F.col("p_brand").isNotNull(), F.array(F.concat(F.lit("p_brand_"), F.col("p_brand")))).otherwise(F.array().cast("array<string>"))
     return x.select(F.explode(F.concat(words("p_name"), brand, words("p_type"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+# --- estimators by name ---------------------------------------------------------------------------------------------------
+
+
+def _estimated(spark, d, name):
+    """Learned from the train split's labels, estimated for all patterns, beside the counts."""
+    from .registry import estimator
+
+    s, p = strings(spark, d), patterns(spark, d)
+    cards = C.naive(s, p)
+    known = S.shuffled_rank(p, "pattern").where(F.col("rank") < F.floor(F.col("total") * 0.8)).select("pattern")
+    model = estimator(name).fit(s, cards.join(known, "pattern"))
+    return model.estimate(p).join(cards.withColumnRenamed("card", "true"), "pattern")
+
+
+for _name in ("recurrent", "attention", "chained", "corrected", "embedded", "bits"):
+    query(f"estimates_{_name}", None)(lambda spark, d, n=_name: _estimated(spark, d, n))
+query("estimates_bound", f"{_BOUND}, h AS (SELECT pattern, regexp_replace(regexp_replace({_canon('pattern', True)}, '^%+', ''), '%+$', '') AS core FROM p) SELECT bd.pattern, CASE WHEN length(core) BETWEEN 1 AND {GRAMS} AND NOT contains(core, '%') AND card > 0 THEN card ELSE bound END::DOUBLE AS est, card AS true FROM bd JOIN cd ON bd.pattern = cd.pattern JOIN h ON h.pattern = bd.pattern")(lambda spark, d: _estimated(spark, d, "bound"))

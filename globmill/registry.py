@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import patterns as P
+from .learned.models import MODELS
 from .operators import counting as C
 from .operators import engines as N
 from .operators import estimators as E
@@ -138,7 +139,7 @@ class Bounded:
 
 #: Estimators by name: Settings -> Estimator. register() adds to them.
 ESTIMATORS: dict[str, Callable[[Settings], Estimator]] = {
-    "sample_plain": lambda k: Sampled(k, "plain"), "sample_half": lambda k: Sampled(k, "half"), "sample_middle": lambda k: Sampled(k, "middle"), "bound": Bounded,
+    "sample_plain": lambda k: Sampled(k, "plain"), "sample_half": lambda k: Sampled(k, "half"), "sample_middle": lambda k: Sampled(k, "middle"), "bound": Bounded, **MODELS,
 }
 
 
