@@ -32,6 +32,11 @@ def small(x: DataFrame, column: str) -> bool:
     return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over all partitions that a shuffle has: few bytes may be much work, where sizes alone would make it one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def naive(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     """Every string with every pattern: for small pattern sets, which are broadcast after a check of their size. Larger ones go by lengths: patterns of wildcards alone by lengths of strings, the others by each string's characters."""
     p = patterns.select("pattern").distinct()
@@ -39,7 +44,7 @@ def naive(strings: DataFrame, patterns: DataFrame) -> DataFrame:
         return by_parts(strings, p)
     # the longest token is looked for first: that needs no expression to be compiled
     told = p.withColumn("_t", longest(F.col("pattern")))
-    return _all(p, strings.join(F.broadcast(told), F.contains(F.col("s"), F.col("_t")) & P.like("s", "pattern")))
+    return _all(p, spread(strings).join(F.broadcast(told), F.contains(F.col("s"), F.col("_t")) & P.like("s", "pattern")))
 
 
 def longest(q) -> Column:

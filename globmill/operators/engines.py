@@ -111,7 +111,7 @@ def narrow(strings: DataFrame, patterns: DataFrame) -> DataFrame:
         on = np.nonzero(sums)[0]
         yield pd.DataFrame({"pattern": [own[k] for k in on], "w": sums[on]})
 
-    return C._all(p, strings.select("s", "w").mapInPandas(walk, schema))
+    return C._all(p, C.spread(strings.select("s", "w")).mapInPandas(walk, schema))
 
 
 def _gaps(order: str, m: Column, sizes: Column) -> Column:
@@ -139,7 +139,7 @@ def ordered(strings: DataFrame, patterns: DataFrame, order: str = "small") -> Da
     p = patterns.select("pattern").distinct().withColumn("q", P.canonical(F.col("pattern")))
     p = p.withColumn("t", P.tokens(F.col("q"))).withColumn("o", P.ops(F.col("q"))).withColumn("m", F.size("t"))
     some = p.where("m > 0")
-    x = C.holders(strings, some).select("pattern", "w", "t", "o", "m", F.length("s").alias("len"), F.transform("t", lambda t: P.occurrences(F.col("s"), t)).alias("lists"))
+    x = C.spread(C.holders(strings, some)).select("pattern", "w", "t", "o", "m", F.length("s").alias("len"), F.transform("t", lambda t: P.occurrences(F.col("s"), t)).alias("lists"))
     under = lambda op: F.length(F.replace(op, F.lit("%"), F.lit("")))
     free = lambda op: F.contains(op, F.lit("%"))
     first, last = F.get("o", F.lit(0)), F.get("o", F.col("m"))
