@@ -12,31 +12,38 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 
-#: Underscores that a mark can hold; runs with more have no form (null).
-MOST = 4
-_BASE = 0xE000  # private use
-START, END, JOINED = (chr(_BASE + i) for i in range(3))
-#: Wildcard run -> mark: 2 u + p + 1 for u underscores, with (p = 1) or without a `%`.
-MARKS = {"%" * p + "_" * u: chr(_BASE + 2 * u + p + 1) for u in range(1, MOST + 1) for p in (0, 1)}
-_ANY = f"[{START}-{chr(_BASE + 2 * MOST + 2)}]"
-_NONE = f"[^{START}-{chr(_BASE + 2 * MOST + 2)}]"
+#: Marks of the start, the end, and of two characters that stand together.
+START, END, JOINED = (chr(0xE000 + i) for i in range(3))
+#: A wildcard run's mark: the code point of its kind that many underscores on. OPEN: runs with a `%`, SHUT: runs without. All marks are of the private use area, so a run may have MOST underscores.
+OPEN, SHUT, MOST = 0xE010, 0xEC80, 3000
+_ANY = f"[{START}-{chr(SHUT + MOST)}]"
+_NONE = f"[^{START}-{chr(SHUT + MOST)}]"
+
+
+def _mark(run: Column) -> Column:
+    under = F.length(F.replace(run, F.lit("%"), F.lit("")))
+    code = under + F.when(F.contains(run, F.lit("%")), OPEN).otherwise(SHUT)
+    return F.when(under <= MOST, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def _run(mark: Column) -> Column:
+    code = F.conv(F.hex(F.encode(mark, "UTF-32")), 16, 10).cast("int")
+    return F.when(code >= SHUT, F.repeat(F.lit("_"), code - SHUT)).otherwise(F.concat(F.lit("%"), F.repeat(F.lit("_"), code - OPEN)))
 
 
 def marked(q: Column) -> Column:
     """The canonical pattern with marks in their own places."""
-    runs, known = P.runs(q), F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])
-    wild = lambda r: F.when(r == "%", "").otherwise(F.try_element_at(known, r))
-    spread = lambda r: F.regexp_replace(r, "(?<=.)(?=.)", JOINED)
-    parts = F.transform(runs, lambda r: F.when(P.is_wild(r), wild(r)).otherwise(spread(r)))
-    body = F.when(F.exists(parts, lambda x: x.isNull()), None).otherwise(F.array_join(parts, ""))
+    spread = lambda r: F.array_join(F.filter(F.split(r, ""), lambda ch: ch != ""), JOINED)
+    parts = F.transform(P.runs(q), lambda r: F.when(r == "%", "").when(P.is_wild(r), _mark(r)).otherwise(spread(r)))
+    body = F.when(~F.exists(parts, lambda x: x.isNull()), F.array_join(parts, ""))
     whole = F.concat(F.when(q.rlike("^[^%_]"), START).otherwise(""), body, F.when(q.rlike("[^%_]$"), END).otherwise(""))
     return F.when(q == "%", JOINED).when(q != "", whole)
 
 
 def encode(q: Column) -> Column:
-    """form, ends: the reading form and whether its last sign is a mark that nothing follows. Null for empty patterns and runs of more than MOST underscores."""
+    """form, ends: the reading form and whether its last sign is a mark that nothing follows. Null for the empty pattern and for runs of more than MOST underscores."""
     m = marked(q)
-    return F.when(m.isNotNull(), F.struct(F.regexp_replace(m, f"({_ANY})({_NONE})", "$2$1").alias("form"), m.rlike(f"{_ANY}$").alias("ends")))
+    return F.when(m.isNotNull(), F.struct(F.regexp_replace(m, f"(?s)({_ANY})({_NONE})", "$2$1").alias("form"), m.rlike(f"{_ANY}$").alias("ends")))
 
 
 def decode(form: Column, ends: Column) -> Column:
@@ -45,9 +52,8 @@ def decode(form: Column, ends: Column) -> Column:
     last = F.when(ends, F.right(form, F.lit(1))).otherwise("")
     m = F.concat(F.regexp_replace(body, f"(?s)({_NONE})({_ANY})", "$2$1"), last)
     q = F.regexp_replace(m, f"(?s)^(?={_NONE})|(?<={_NONE})(?={_NONE})|(?<={_NONE})$", "%")
-    for run, mark in MARKS.items():
-        q = F.replace(q, F.lit(mark), F.lit(run))
-    return F.when(m == JOINED, "%").otherwise(F.regexp_replace(q, f"[{START}{END}{JOINED}]", ""))
+    plain = F.transform(F.split(q, ""), lambda ch: F.when(ch.isin(START, END, JOINED), "").when(ch.rlike(_ANY), _run(ch)).otherwise(ch))
+    return F.when(m == JOINED, "%").otherwise(F.array_join(plain, ""))
 
 
 def steps(q: Column) -> Column:

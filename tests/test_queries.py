@@ -161,8 +161,9 @@ def test_language(spark):
     """Every prefix of the reading form is a step of the conditional chain."""
     q = workload_queries._forms(spark, SF).where("pattern rlike '[^%_]'").select("pattern", L.steps(F.col("pattern")).alias("a"), P.conditional_steps(F.col("pattern")).alias("b"))
     assert q.count() > 0 and q.where("a is null or a <> b").count() == 0
-    odd = spark.createDataFrame([("",), ("%",), ("%_____",), ("____a",)], "q string").select("q", L.encode(F.col("q")).alias("e"))
-    assert [r["e"] is None for r in odd.collect()] == [True, False, True, False]
+    odd = spark.createDataFrame([("",), ("%",), ("%" + "_" * 40,), ("____a",), ("é%_____😀b",), ("a\nb%",)], "q string").select("q", L.encode(F.col("q")).alias("e"))
+    assert [r["e"] is None for r in odd.collect()] == [True] + [False] * 5
+    assert odd.where("e is not null").where(L.decode(F.col("e.form"), F.col("e.ends")) != F.col("q")).count() == 0
 
 
 def test_drawn_workloads(spark):
