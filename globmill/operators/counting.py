@@ -59,7 +59,7 @@ def holders(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     tokens = p.select("_token").distinct().withColumn("_n", F.length("_token"))
     sizes = tokens.select("_n").distinct()  # as many rows as there are lengths of tokens
     parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - F.col("_n") + 1), lambda i: F.substr(F.col("s"), i, F.col("_n"))))
-    held = strings.join(F.broadcast(sizes), F.length("s") >= F.col("_n")).select("s", "w", F.explode(parts).alias("_token")).join(tokens.select("_token"), "_token", "left_semi")
+    held = spread(strings).join(F.broadcast(sizes), F.length("s") >= F.col("_n")).select("s", "w", F.explode(parts).alias("_token")).join(tokens.select("_token"), "_token", "left_semi")
     return held.join(p, "_token").select(*patterns.columns, "s", "w")
 
 
@@ -82,7 +82,7 @@ def by_parts(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     """Strings that hold a pattern's longest token, then LIKE; wildcards alone by lengths. No string meets all patterns."""
     p = patterns.select("pattern").distinct()
     some = p.where(F.col("pattern").rlike("[^%_]"))
-    hits = holders(strings, some).where(P.like("s", "pattern")).select("pattern", "w")
+    hits = spread(holders(strings, some)).where(P.like("s", "pattern")).select("pattern", "w")
     return _all(some, hits).unionAll(bare(strings, p.where(~F.col("pattern").rlike("[^%_]"))))
 
 
@@ -96,10 +96,10 @@ def candidates(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     """Strings that share the rarest gram of a pattern, then LIKE. Patterns without a token of GRAM characters go to by_parts()."""
     p = patterns.select("pattern").distinct()
     own = p.select("pattern", F.explode(F.flatten(F.transform(P.tokens(F.col("pattern")), lambda t: grams(t)))).alias("gram"))
-    index = strings.select("s", "w", F.explode(grams(F.col("s"))).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
+    index = spread(strings).select("s", "w", F.explode(grams(F.col("s"))).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
     frequency = index.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = own.join(frequency, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram"))["gram"].alias("gram"))
-    hits = index.join(rarest, "gram").where(P.like("s", "pattern")).select("pattern", "w")
+    hits = spread(index.join(rarest, "gram")).where(P.like("s", "pattern")).select("pattern", "w")
     return _all(rarest, hits).unionAll(by_parts(strings, p.join(rarest, "pattern", "left_anti")))
 
 
