@@ -13,6 +13,10 @@ from ..functions import patterns as P
 
 #: Rows and bytes of patterns up to which they are broadcast; checked, as broadcasts must not grow with the data.
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 4 << 20
+#: The same where a row is found by an equal key, so that not every string meets every pattern.
+KEYED_ROWS, KEYED_BYTES = 100_000, 8 << 20
+#: Parts into which a token's strings are dealt where patterns are joined by a shuffle.
+SALTS = 16
 GRAM = 3
 
 
@@ -26,10 +30,11 @@ def _all(patterns: DataFrame, hits: DataFrame) -> DataFrame:
     return patterns.select("pattern").distinct().join(got, "pattern", "left").select("pattern", F.coalesce("card", F.lit(0)).cast("long").alias("card"))
 
 
-def small(x: DataFrame, column: str) -> bool:
+def small(x: DataFrame, column: str, keyed: bool = False) -> bool:
     """Whether a table with a text column may be broadcast, by its rows and the bytes of that column."""
-    n, size = x.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
-    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    rows, most = (KEYED_ROWS, KEYED_BYTES) if keyed else (BROADCAST_ROWS, BROADCAST_BYTES)
+    n, size = x.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
+    return n <= rows and size <= most
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -53,14 +58,34 @@ def longest(q) -> Column:
     return F.coalesce(F.array_min(t)["t"], F.lit(""))
 
 
-def holders(strings: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The columns of patterns (which have tokens) with s, w of the strings that hold their longest token: an equality join on the substrings of the lengths that such tokens have."""
-    p = patterns.withColumn("_token", longest(F.col("pattern")))
-    tokens = p.select("_token").distinct().withColumn("_n", F.length("_token"))
-    sizes = tokens.select("_n").distinct()  # as many rows as there are lengths of tokens
+def anchored(q: Column) -> Column:
+    """Of a pattern's tokens, longest first (of equal ones, those at an edge without wildcards): t, and at: 1 where a string has to begin with it, 2 where it has to end with it, else 0."""
+    tokens = P.tokens(q)
+    wild = lambda edge: edge.isin("%", "_")
+    at = lambda i: F.when((i == 0) & ~wild(F.left(q, F.lit(1))), 1).when((i == F.size(tokens) - 1) & ~wild(F.right(q, F.lit(1))), 2).otherwise(0)
+    return F.array_sort(F.transform(tokens, lambda t, i: F.struct((-F.length(t)).alias("n"), (at(i) == 0).alias("loose"), i.alias("i"), at(i).alias("at"), t.alias("t"))))
+
+
+def holders(strings: DataFrame, patterns: DataFrame, edges: bool = True) -> DataFrame:
+    """The columns of patterns (which have tokens) with s, w of the strings that hold their two longest tokens, the longest one at its edge if it has one (edges: false takes them anywhere).
+
+    An equality join on the parts of strings at the places and of the lengths that such tokens have. Small pattern sets are
+    broadcast, so pairs are made and tested where the strings are; larger ones are joined by token and a salt of the string.
+    """
+    p = patterns.withColumn("_best", anchored(F.col("pattern")))
+    best, other = F.get("_best", F.lit(0)), F.get("_best", F.lit(1))
+    p = p.select(*patterns.columns, best["t"].alias("_token"), (best["at"] if edges else F.lit(0)).alias("_at"), F.coalesce(other["t"], F.lit("")).alias("_other"))
+    sizes = p.select("_at", F.length("_token").alias("_n")).distinct()  # as many rows as there are places and lengths of tokens
     parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - F.col("_n") + 1), lambda i: F.substr(F.col("s"), i, F.col("_n"))))
-    held = spread(strings).join(F.broadcast(sizes), F.length("s") >= F.col("_n")).select("s", "w", F.explode(parts).alias("_token")).join(tokens.select("_token"), "_token", "left_semi")
-    return held.join(p, "_token").select(*patterns.columns, "s", "w")
+    parts = F.when(F.col("_at") == 1, F.array(F.left("s", "_n"))).when(F.col("_at") == 2, F.array(F.right("s", "_n"))).otherwise(parts)
+    held = spread(strings).join(F.broadcast(sizes), F.length("s") >= F.col("_n")).select("s", "w", "_at", F.explode(parts).alias("_token"))
+    key = ["_at", "_token"]
+    if small(patterns, "pattern", keyed=True):
+        pairs = held.join(F.broadcast(p), key)
+    else:
+        held = held.withColumn("_salt", F.pmod(F.xxhash64("s"), F.lit(SALTS)))
+        pairs = held.join(p.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*key, "_salt"])
+    return pairs.where(F.contains(F.col("s"), F.col("_other"))).select(*patterns.columns, "s", "w")
 
 
 def bare(strings: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -82,7 +107,7 @@ def by_parts(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     """Strings that hold a pattern's longest token, then LIKE; wildcards alone by lengths. No string meets all patterns."""
     p = patterns.select("pattern").distinct()
     some = p.where(F.col("pattern").rlike("[^%_]"))
-    hits = spread(holders(strings, some)).where(P.like("s", "pattern")).select("pattern", "w")
+    hits = holders(strings, some).where(P.like("s", "pattern")).select("pattern", "w")
     return _all(some, hits).unionAll(bare(strings, p.where(~F.col("pattern").rlike("[^%_]"))))
 
 

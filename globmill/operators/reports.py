@@ -70,7 +70,10 @@ def all_tokens_occur(strings: DataFrame, patterns: DataFrame) -> DataFrame:
 
     p = patterns.select("pattern").distinct().withColumn("t", P.tokens(F.col("pattern")))
     whole = strings.agg(F.sum("w").alias("w"))
-    hits = holders(strings, p.where(F.size("t") > 0)).where(F.forall("t", lambda t: F.contains(F.col("s"), t))).select("pattern", "w")
+    # one expression without lambda functions, which a join's condition can hold: a look ahead for each token
+    quoted = F.transform("t", lambda t: F.concat(F.lit(r"(?=.*\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)")))
+    look = p.where(F.size("t") > 0).select("pattern", F.size("t").alias("m"), F.concat(F.lit("(?s)^"), F.array_join(quoted, "")).alias("look"))
+    hits = holders(strings, look, edges=False).where((F.col("m") <= 2) | F.rlike("s", F.col("look"))).select("pattern", "w")
     hits = hits.unionAll(p.where(F.size("t") == 0).crossJoin(F.broadcast(whole)).select("pattern", "w"))
     hits = hits.groupBy("pattern").agg(F.sum("w").alias("n"))
     return p.select("pattern").join(hits, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -58,6 +58,21 @@ def test_large_sets_take_no_nested_loop(spark, monkeypatch):
     assert "CartesianProduct" not in plan
 
 
+@pytest.mark.parametrize("rows", [0, 100_000])
+def test_pairs_by_anchored_tokens(spark, monkeypatch, rows):
+    """Broadcast patterns and salted joins give the same pairs; tokens in any order aren't held to their edges."""
+    monkeypatch.setattr(C, "KEYED_ROWS", rows)
+    for seed in (5, 6):
+        strings, patterns, want = _case(spark, seed)
+        for engine in (C.by_parts, N.ordered):
+            assert {r["pattern"]: r["card"] for r in engine(strings, patterns).collect()} == want
+        texts = [(r["s"], r["w"]) for r in strings.collect()]
+        got = {r["pattern"]: r["n"] for r in R.all_tokens_occur(strings, patterns).collect()}
+        assert got == {q: sum(w for s, w in texts if all(t in s for t in re.findall("[^%_]+", q))) for q in want}
+    plan = C.by_parts(strings, patterns)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
 def test_augmented_counts(spark):
     strings, patterns, _ = _case(spark, 4)
     texts = [(r["s"], r["w"]) for r in strings.collect()]
