@@ -98,7 +98,7 @@ def narrow(strings: DataFrame, patterns: DataFrame) -> DataFrame:
     The trie is sent to the tasks if the patterns are small (checked by rows and bytes); larger sets go to candidates().
     """
     p = patterns.select("pattern").distinct()
-    if not C.small(p, "pattern"):
+    if not C.small(p, "pattern", keyed=True):
         return C.candidates(strings, p)
     own = [r["pattern"] for r in p.orderBy("pattern").collect()]  # bounded by the check
     schema = "pattern string, w long"
