@@ -109,7 +109,8 @@ def narrow(strings: DataFrame, patterns: DataFrame) -> DataFrame:
             for s, w in zip(b["s"], b["w"], strict=True):
                 sums[trie.match(s)] += w
         on = np.nonzero(sums)[0]
-        yield pd.DataFrame({"pattern": [own[k] for k in on], "w": sums[on]})
+        if len(on):  # a frame without rows would have numbers for text, which Arrow doesn't take
+            yield pd.DataFrame({"pattern": [own[k] for k in on], "w": sums[on]})
 
     return C._all(p, C.spread(strings.select("s", "w")).mapInPandas(walk, schema))
 

@@ -48,6 +48,14 @@ def test_engines_agree_with_plain_matching(spark, name):
     assert {r["card"] for r in engine(nothing, patterns).collect()} == {0}
 
 
+def test_narrow_with_partitions_that_match_nothing(spark):
+    """Fewer strings than partitions, and strings that no pattern meets."""
+    patterns = spark.createDataFrame([("a%",), ("%zz%",), ("__",)], "pattern string")
+    for texts, want in ((["ab"], {"a%": 1, "%zz%": 0, "__": 1}), (["b"], {"a%": 0, "%zz%": 0, "__": 0})):
+        strings = spark.createDataFrame([(t, 1) for t in texts], "s string, w long")
+        assert {r["pattern"]: r["card"] for r in N.narrow(strings, patterns).collect()} == want
+
+
 def test_large_sets_take_no_nested_loop(spark, monkeypatch):
     strings, patterns, want = _case(spark, 3)
     monkeypatch.setattr(C, "BROADCAST_BYTES", 10)
