@@ -154,43 +154,63 @@ def postings(strings: DataFrame, tokens: DataFrame) -> DataFrame:
     return windows.groupBy("token", *strings.columns).agg(F.array_sort(F.collect_list("p")).alias("pos"))
 
 
-def numbered(strings: DataFrame) -> DataFrame:
-    """Adds sid, a 128-bit number that stands for the string in joins, and its length. Strings are distinct; two share a number with probability n^2 / 2^129."""
-    return strings.withColumn("sid", F.struct(F.xxhash64("s").alias("a"), F.xxhash64(F.reverse("s"), F.length("s")).alias("b"))).withColumn("len", F.length("s"))
-
-
 def positional(strings: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Joins of position lists, token by token; patterns with the same first tokens share them, and strings without a position left drop out.
+    """Joins of position lists, token by token; patterns with the same number of tokens and the same first tokens share them, and strings without a position left drop out.
 
-    Before a `%`, only the least position counts; otherwise all positions at the exact distance go on.
+    Before a `%`, only the least position counts; otherwise all positions at the exact distance go on. A string's lists are made
+    where it is, of the tokens that may come next, so neither lists nor pairs go through a shuffle. Patterns are broadcast,
+    more than the keyed bound in as many groups as are needed; those without wildcards meet the string that equals them.
     """
     p = patterns.select("pattern").distinct().withColumn("q", P.canonical(F.col("pattern")))
     p = p.withColumn("t", P.tokens(F.col("q"))).withColumn("o", P.ops(F.col("q"))).withColumn("m", F.size("t"))
-    most = p.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
     plain = bare(strings, p.where("m = 0")).select("pattern", F.col("card").alias("w"))
-    some = p.where("m > 0")
-    # lists are joined by the strings' numbers: the strings themselves stay behind
-    post = postings(numbered(strings), some.select(F.explode("t").alias("token"))).select("token", "sid", "len", "w", "pos")
-    under = lambda o: F.length(F.replace(o, F.lit("%"), F.lit("")))
-    head = lambda k: F.concat_ws("\0", *[F.concat(F.get("o", F.lit(i)), F.lit("\1"), F.get("t", F.lit(i))) for i in range(k + 1)])
-    done, state = plain, None
-    for k in range(most):
-        here = some.where(F.col("m") > k).select(head(k).alias("path"), (head(k - 1) if k else F.lit("")).alias("up"), F.get("o", F.lit(k)).alias("op"), F.get("t", F.lit(k)).alias("token")).distinct()
-        if state is None:
-            x = here.join(post, "token").withColumn("lo", under(F.col("op")) + 1).withColumn("from", F.array("lo"))
-        else:
-            x = here.join(state, "up").join(post, ["token", "sid", "len", "w"]).withColumn("d", under(F.col("op")) + F.length("last"))
-            x = x.withColumn("lo", F.array_min("prev") + F.col("d")).withColumn("from", F.transform("prev", lambda v: v + F.col("d")))
-        kept = F.when(F.contains("op", F.lit("%")), F.filter("pos", lambda v: v >= F.col("lo"))).otherwise(F.array_intersect("pos", "from"))
-        x = x.withColumn("prev", kept).where(F.size("prev") > 0).select(F.col("path").alias("up"), "sid", "len", "w", "prev", F.col("token").alias("last"))
-        ends = some.where(F.col("m") == k + 1).select("pattern", head(k).alias("up"), F.get("o", F.lit(k + 1)).alias("tail"))
-        room = F.col("len") - F.length("last") + 1 - under(F.col("tail"))
-        fits = F.when(F.contains("tail", F.lit("%")), F.array_min("prev") <= room).otherwise(F.array_contains("prev", room))
-        done = done.unionAll(ends.join(x, "up").where(fits).select("pattern", "w"))
-        state = x
+    wild = F.col("pattern").rlike("[%_]")
+    done = plain.unionAll(p.where((F.col("m") > 0) & ~wild).join(strings, F.col("pattern") == F.col("s")).select("pattern", "w"))
+    some, dealt = p.where((F.col("m") > 0) & wild), spread(strings.select("s", "w"))
+    told = some.groupBy("m").agg(F.count("*").alias("n"), F.sum(F.octet_length("pattern")).alias("size")).collect()  # as many rows as there are numbers of tokens
+    for r in sorted(told):
+        groups = max(-(-r["n"] // max(KEYED_ROWS, 1)), -(-r["size"] // max(KEYED_BYTES, 1)))
+        for g in range(groups):
+            own = some.where((F.col("m") == r["m"]) & (F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g))
+            done = done.unionAll(_chained(dealt, own, r["m"]))
     return _all(p, done)
 
 
+def _chained(strings: DataFrame, patterns: DataFrame, m: int) -> DataFrame:
+    """pattern, w of the strings that match patterns (pattern, t, o) of m tokens each, which are broadcast.
+
+    after: the places behind the tokens so far, the least one alone where a `%` comes next. Each step cuts a string at the places
+    that the next tokens may have and finds them by an equal key; the last one knows the run at the end, so a token that has
+    to stand there is looked for there alone.
+    """
+    under = lambda o: F.length(F.replace(o, F.lit("%"), F.lit("")))
+    free = lambda o: F.contains(o, F.lit("%"))
+    op, token = lambda k: F.get("o", F.lit(k)), lambda k: F.get("t", F.lit(k))
+    head = lambda k: F.concat_ws("\0", *[F.concat(op(i), F.lit("\1"), token(i)) for i in range(k + 1)])
+    key = ["up", "op", "tail", "token"]
+    x = strings.select("s", "w", F.length("s").alias("len"), F.lit("").alias("up"), F.array(F.lit(1)).alias("after"))
+    for k in range(m):
+        last = k == m - 1
+        edges = patterns.select((head(k - 1) if k else F.lit("")).alias("up"), op(k).alias("op"), (op(m) if last else F.lit("%")).alias("tail"), token(k).alias("token"), head(k).alias("path"), (~free(op(k + 1))).alias("all"), "pattern")
+        edges = edges.select(*key, "pattern") if last else edges.groupBy(*key, "path").agg(F.bool_or("all").alias("all"))
+        n = F.length("token")
+        sizes = edges.select("up", "op", "tail", n.alias("n"), under(F.col("op")).alias("under"), free(F.col("op")).alias("free"), (n + under(F.col("tail"))).alias("rest"), free(F.col("tail")).alias("loose")).distinct()
+        x = x.join(F.broadcast(sizes), "up").withColumn("low", F.array_min("after") + F.col("under")).withColumn("high", F.col("len") + 1 - F.col("rest")).where("low <= high")
+        begins = F.when(~F.col("free"), F.col("after")).when(F.col("loose"), F.sequence(F.col("low") - F.col("under"), F.greatest("low", "high") - F.col("under"))).otherwise(F.array(F.col("high") - F.col("under")))
+        x = x.select("*", F.explode(begins).alias("v")).withColumn("at", F.col("v") + F.col("under")).where(F.when(F.col("loose"), F.col("at") <= F.col("high")).otherwise(F.col("at") == F.col("high")))
+        x = x.withColumn("token", F.substr(F.col("s"), F.col("at"), F.col("n")))
+        # of the places of one token, the first goes on; asked of the pattern's token, so that it is only asked of pairs
+        same = lambda v: F.substr(F.col("s"), v, F.col("n")) == F.col("found")
+        least = F.array_min(F.filter("after", lambda v: same(v + F.col("under")))) == F.col("v")
+        first = F.when(~F.col("loose"), True).when(F.col("free"), F.position(F.col("found"), F.col("s"), F.col("low")) == F.col("at")).when(F.size("after") == 1, True).otherwise(least)
+        x = x.join(F.broadcast(edges.withColumn("found", F.col("token"))), key).where(first)
+        if last:
+            return x.select("pattern", "w")
+        places = F.when(F.col("free"), F.sequence("low", F.greatest("low", "high"))).otherwise(F.transform("after", lambda v: v + F.col("under")))
+        after = F.when(F.col("all"), F.transform(F.filter(places, same), lambda v: v + F.col("n"))).otherwise(F.array(F.col("at") + F.col("n")))
+        x = x.select("s", "w", "len", F.col("path").alias("up"), after.alias("after"))
+
+
 def reverse_both(strings: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return strings.withColumn("s", F.reverse("s")), patterns.withColumn("pattern", F.reverse("pattern"))
 

@@ -81,6 +81,20 @@ def test_pairs_by_anchored_tokens(spark, monkeypatch, rows):
     assert "CartesianProduct" not in plan
 
 
+def test_positional_shuffles_no_lists(spark, monkeypatch):
+    """Position lists and pairs stay where the strings are, also with patterns in several groups; overlapping places of a token count once."""
+    texts = ["aaa", "aaab", "ababa", "xaéaé", "", "b"]
+    patterns = ["%aa%", "%aa", "aa%", "%a_a%", "%a_%b", "_a%", "a%a", "%é%_", "aaa", "%a%a%a%", "_%a_%", "%a_a_a", "zz%", "%", "__"]
+    strings, asked = spark.createDataFrame([(s, 1) for s in texts], "s string, w long"), spark.createDataFrame([(q,) for q in patterns], "pattern string")
+    want = {q: sum(_like(s, q) for s in texts) for q in patterns}
+    for rows in (100_000, 3):
+        monkeypatch.setattr(C, "KEYED_ROWS", rows)
+        df = C.positional(strings, asked)
+        assert {r["pattern"]: r["card"] for r in df.collect()} == want
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "sid#" not in plan
+
+
 def test_augmented_counts(spark):
     strings, patterns, _ = _case(spark, 4)
     texts = [(r["s"], r["w"]) for r in strings.collect()]
