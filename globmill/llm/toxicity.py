@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +36,10 @@ DIM, HIDDEN, ATTENTION, BUCKETS = 12, 8, 8, 4096
 EPOCHS, BATCH, RATE, SEED = 6, 64, 8e-3, 7
 #: Distinct words whose inputs a Python worker keeps, and windows scored at once.
 STORE, AT_ONCE = 100_000, 2048
-#: Windows and texts scored at once while training: the driver's memory is smaller than a worker's.
-AT_ONCE_TRAINING, TEXTS_TRAINING = 1024, 64
+#: Windows and texts scored at once while training, and windows that share a table of their words: the driver's memory is smaller than a worker's.
+AT_ONCE_TRAINING, TEXTS_TRAINING, LOT_TRAINING = 1024, 64, 16_384
+#: Words spelled and projected at once: their trigrams' vectors take far more room than what becomes of them.
+WORDS_AT_ONCE = 8192
 
 #: Check sums of single bytes, of which zlib.crc32 is made up.
 _CRC = np.array([zlib.crc32(bytes([0xFF ^ i])) ^ 0xFF000000 for i in range(256)], np.uint32)
@@ -135,6 +136,14 @@ class Network:
     def project(self, vectors: np.ndarray) -> np.ndarray:
         return np.concatenate([vectors @ self.p[f"w{s}"] + self.p[f"x{s}"] for s in "fb"], 1)
 
+    def projected(self, ids: np.ndarray, buckets: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """project(inputs(...)) in single precision, a lot of words at a time."""
+        out = np.empty((len(ids), 6 * HIDDEN), np.float32)
+        for i in range(0, len(ids), WORDS_AT_ONCE):
+            own = ends[i : i + WORDS_AT_ONCE + 1]
+            out[i : i + WORDS_AT_ONCE] = self.project(self.inputs(ids[i : i + WORDS_AT_ONCE], buckets[own[0] : own[-1]], own - own[0]))
+        return out
+
     def backward(self, d: np.ndarray, kept, vectors, place, ids, buckets, ends) -> dict[str, np.ndarray]:
         """Gradients from those of the logits; place: (windows, words) -> row of vectors."""
         p, h = self.p, HIDDEN
@@ -189,7 +198,7 @@ class Scorer:
         f = lambda k: np.ascontiguousarray(net.p[k].T, np.float32)
         self.small = {k: 0.5 * f(k) for k in ("uf", "ub")} | {k: 0.5 * f(k)[:, None] for k in ("cf", "cb")}
         self.small |= {k: f(k) for k in ("wa", "va", "wo")} | {"ba": f("ba")[:, None], "bo": np.float32(net.p["bo"][0])}
-        self.half = np.tile(np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)], 2)
+        self.half = np.tile(np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)], 2).astype(np.float32)
 
     def _add(self, words: set[str]) -> None:
         if len(self.rows) > STORE:
@@ -197,7 +206,8 @@ class Scorer:
         if new := [w for w in words if w not in self.rows]:
             buckets, ends = self.net.spell(new)
             ids = np.fromiter((self.net.vocab.get(w, 0) for w in new), np.int64, len(new))
-            got = (self.net.project(self.net.inputs(ids, buckets, ends)) * self.half).astype(np.float32)
+            got = self.net.projected(ids, buckets, ends)
+            got *= self.half
             self.rows.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate([self.table, got])
 
@@ -290,7 +300,7 @@ class Scorer:
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
-    """Fit the network; every fifth row fits the scale of the scores instead. None if a label is missing."""
+    """Fit the network; every fifth row fits the scale of the scores instead. None if a label is missing or there are no words."""
     y = np.array(labels)
     if len(set(labels)) < 2:
         return None
@@ -299,63 +309,68 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     learn, scale = order[np.arange(len(y)) % 5 > 0], order[np.arange(len(y)) % 5 == 0]
     if len(set(y[learn])) < 2:
         learn = order
-    seen: dict[str, str] = {}  # each word is held once, however often it stands in the sample
-    tokens = [[seen.setdefault(w, w) for w in words_of((t or "").lower())] for t in texts]
-    df = [Counter(), Counter()]
+    number: dict[str, int] = {}  # the sample's words, numbered; a text is a row of numbers
+    tokens = [np.fromiter((number.setdefault(w, len(number)) for w in words_of((t or "").lower())), np.int32) for t in texts]
+    if not any(len(tokens[i]) for i in learn):
+        return None
+    df = np.zeros((2, len(number)), np.int64)
     for i in learn:
-        df[int(y[i])].update(set(tokens[i]))
+        df[int(y[i]), np.unique(tokens[i])] += 1
     n = [int((y[learn] == k).sum()) for k in (0, 1)]
-    vocab = {w: i + 1 for i, w in enumerate(sorted(w for w in set(df[0]) | set(df[1]) if df[0][w] + df[1][w] >= 3))}
+    told = df.sum(0)
+    vocab = {w: i + 1 for i, w in enumerate(sorted(w for w, k in number.items() if told[k] >= 3))}
     start = np.zeros(len(vocab) + 1)
     for w, i in vocab.items():
-        total = df[0][w] + df[1][w]
-        start[i] = np.clip((np.log((df[1][w] + 0.5) / (n[1] + 1)) - np.log((df[0][w] + 0.5) / (n[0] + 1))) * total / (total + 5), -2, 4)
+        (clean, toxic), total = df[:, number[w]], told[number[w]]
+        start[i] = np.clip((np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1))) * total / (total + 5), -2, 4)
     net = Network(vocab, start, seed)
-    words = sorted({w for i in learn for w in tokens[i]})
-    rows = {w: k for k, w in enumerate(words)}
+    words = sorted(w for w, k in number.items() if told[k])
+    rows = np.zeros(len(number), np.int32)
+    rows[np.fromiter((number[w] for w in words), np.int64, len(words))] = np.arange(len(words))
     ids = np.array([vocab.get(w, 0) for w in words])
-    buckets, ends = net.spell(words)
-    docs = []
-    for i in learn:
-        x = np.array([rows[w] for w in tokens[i]], np.int32)
-        if len(x):
-            x = np.r_[x, np.full(max(0, WINDOW - len(x)), -1, np.int32)]
-            docs.append((int(y[i]), np.lib.stride_tricks.sliding_window_view(x, WINDOW)[windows(int((x >= 0).sum()), stride=STRIDE_TRAINING)]))
-    del tokens, seen, rows, words
+    spelled = [net.spell(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+    buckets = np.concatenate([x.astype(np.int32) for x, _ in spelled])
+    ends = np.r_[0, np.cumsum(np.concatenate([np.diff(e) for _, e in spelled]))]
+    # all texts in a row, short ones filled up to a window, and where their windows begin
+    learn = [i for i in learn if len(tokens[i])]
+    lie = np.r_[0, np.cumsum([max(WINDOW, len(tokens[i])) for i in learn])]
+    row = np.full(int(lie[-1]), -1, np.int32)
+    begin, of = [], [int(y[i]) for i in learn]
+    for i, at in zip(learn, lie.tolist(), strict=False):
+        row[at : at + len(tokens[i])] = rows[tokens[i]]
+        begin.append(at + np.array(windows(len(tokens[i]), stride=STRIDE_TRAINING)))
+    cuts = np.r_[0, np.cumsum([len(x) for x in begin])]
+    begin = np.concatenate(begin)
+    cut = lambda at: row[at[:, None] + np.arange(WINDOW)]
+    del number, tokens, words, rows, spelled, df, told
     weight = {1: 1.0, 0: n[1] / max(1, n[0]) if n[1] < n[0] else 1.0}
     lifted = np.maximum(start[ids], 0)
-    best = [int(np.where(w >= 0, lifted[w], 0).sum(1).argmax()) for _, w in docs]
+    best = [int(np.where((w := cut(begin[a:b])) >= 0, lifted[w], 0).sum(1).argmax()) for a, b in zip(cuts, cuts[1:], strict=False)]
     m, v, step = {k: np.zeros_like(a) for k, a in net.p.items()}, {k: np.zeros_like(a) for k, a in net.p.items()}, 0
     for epoch in range(epochs):
         if epoch:
-            table = net.project(net.inputs(ids, buckets, ends)).astype(np.float32)
-            where = np.concatenate([w for _, w in docs])
-            got = np.concatenate([net.forward(table[w := where[i : i + AT_ONCE_TRAINING]], w >= 0)[0] for i in range(0, len(where), AT_ONCE_TRAINING)])
-            del table, where
-            cuts = np.r_[0, np.cumsum([len(w) for _, w in docs])]
+            got = np.concatenate([_logits_training(net, row, begin[i : i + LOT_TRAINING], ids, buckets, ends) for i in range(0, len(begin), LOT_TRAINING)])
             best = [int(got[a:b].argmax()) for a, b in zip(cuts, cuts[1:], strict=False)]
-        items = [(label, w[b]) for (label, w), b in zip(docs, best, strict=True)] + [(0, w[rng.integers(len(w))]) for label, w in docs if not label]
+        items = [(label, a + k) for label, a, k in zip(of, cuts, best, strict=False)] + [(0, a + rng.integers(b - a)) for label, a, b in zip(of, cuts, cuts[1:], strict=False) if not label]
         by = rng.permutation(len(items))
         for k in range(0, len(by), BATCH):
             part = [items[i] for i in by[k : k + BATCH]]
-            w, t = np.array([x for _, x in part]), np.array([x for x, _ in part], float)
+            w, t = cut(begin[[x for _, x in part]]), np.array([x for x, _ in part], float)
             mask = w >= 0
             used, place = np.unique(np.where(mask, w, w[:, :1]), return_inverse=True)
             place = place.reshape(w.shape)
-            size = np.diff(ends)[used]
-            own = np.r_[0, np.cumsum(size)]
-            bk = buckets[np.repeat(ends[used] - own[:-1], size) + np.arange(own[-1])]
-            vectors = net.inputs(ids[used], bk, own)
+            own = _some(used, ids, buckets, ends)
+            vectors = net.inputs(*own)
             logit, kept = net.forward(net.project(vectors)[place], mask, True)
             d = (_sigmoid(logit) - t) * np.where(t > 0, weight[1], weight[0]) / len(part)
-            g = net.backward(d, kept, vectors, place, ids[used], bk, own)
+            g = net.backward(d, kept, vectors, place, *own)
             step += 1
             rate = RATE * (1 - 0.8 * epoch / epochs)
             for name, grad in g.items():
                 m[name] += 0.1 * (grad - m[name])
                 v[name] += 0.001 * (grad * grad - v[name])
                 net.p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
-    del docs, m, v
+    del row, begin, cut, ids, buckets, ends, m, v
     fit = scale if len(set(y[scale])) > 1 else learn
     own = net.scorer()
     tops = np.array([x.max() if len(x) else np.nan for k in range(0, len(fit), TEXTS_TRAINING) for x in own.logits([texts[i] for i in fit[k : k + TEXTS_TRAINING]])], float)
@@ -364,6 +379,29 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     return net
 
 
+def _logits_training(net: Network, row: np.ndarray, begin: np.ndarray, ids: np.ndarray, buckets: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Logits of the windows that begin there (ascending) in the row; only the words between the first and the last are projected."""
+    between = row[begin[0] : begin[-1] + WINDOW]
+    stands = np.zeros(len(ids), bool)
+    stands[between[between >= 0]] = True
+    used = np.flatnonzero(stands)
+    local = np.zeros(len(ids), np.int32)
+    local[used] = np.arange(len(used))
+    local = np.where(between >= 0, local[between], 0)
+    table, out = net.projected(*_some(used, ids, buckets, ends)), []
+    for i in range(0, len(begin), AT_ONCE_TRAINING):
+        where = begin[i : i + AT_ONCE_TRAINING, None] - begin[0] + np.arange(WINDOW)
+        out.append(net.forward(table[local[where]], between[where] >= 0)[0])
+    return np.concatenate(out)
+
+
+def _some(used: np.ndarray, ids: np.ndarray, buckets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, trigram buckets and their bounds of some of the words."""
+    size = np.diff(ends)[used]
+    own = np.r_[0, np.cumsum(size)]
+    return ids[used], buckets[np.repeat(ends[used] - own[:-1], size) + np.arange(own[-1])], own
+
+
 def _fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope (never negative) and offset of a logistic fit, slightly drawn towards (1, 0)."""
     a, b = 1.0, 0.0

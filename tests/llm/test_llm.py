@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -442,6 +443,30 @@ def test_toxicity_held_out(spark):
     assert toxicity.train(["a", "b"], [0, 0]) is None
 
 
+def test_toxicity_training_memory():
+    """Training holds numbers of words, not their inputs or windows: the driver has little room beside the JVM."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'bad' if i % 2 else 'good'}{n}" for n in rng.integers(0, 10**6, 2000)) for i in range(60)]
+    tracemalloc.start()
+    net = toxicity.train(texts, [i % 2 for i in range(60)], epochs=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert net is not None and most < 50e6
+
+
+def test_toxicity_training_in_lots(monkeypatch):
+    """The size of the lots changes nothing; texts without words are not learned from."""
+    texts = [" ".join(f"{'bad' if i % 3 else 'good'}{n % 50}" for n in range(i, i + 1 + 9 * (i % 12))) for i in range(40)]
+    labels = [int(i % 3 > 0) for i in range(40)]
+    texts[:4] = [None, "", "...", "- -"]
+    want = toxicity.train(texts, labels, epochs=3)
+    for name, few in (("LOT_TRAINING", 5), ("AT_ONCE_TRAINING", 3), ("WORDS_AT_ONCE", 7)):
+        monkeypatch.setattr(toxicity, name, few)
+    got = toxicity.train(texts, labels, epochs=3)
+    assert got.vocab == want.vocab and all(np.allclose(got.p[k], want.p[k], atol=1e-6) for k in want.p) and np.allclose(got.scale, want.scale, atol=1e-4)
+    assert toxicity.train([None, "", "...", "- -"] * 5, [0, 1, 0, 1] * 5) is None
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 31, 32, 33, 57, 200, 1001):
         at = toxicity.windows(n)
